@@ -12,8 +12,8 @@ def _crc32(text: str) -> str:
         for _ in range(8):
             i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
         steps.append(i)
-    digits = f"hex(encode({text}))"
-    values = f"list_transform(range(0, strlen({text})), lambda i: cast('0x' || {digits}[2 * i + 1 : 2 * i + 2] as ubigint))"
+    digits = f"list_transform(string_split(hex(encode({text})), ''), lambda h: cast(strpos('123456789ABCDEF', h) as ubigint))"
+    values = f"list_transform(list_zip({digits}[1:-1:2], {digits}[2:-1:2]), lambda p: p[1] * 16 + p[2])"
     return f"cast(xor(list_reduce(list_concat([4294967295::ubigint], {values}), lambda c, b: xor(c >> 8, {steps}[cast(xor(c, b) & 255 as bigint) + 1]::ubigint)), 4294967295::ubigint) as bigint)"
 
 
