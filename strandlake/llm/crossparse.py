@@ -147,7 +147,7 @@ def scored(docs: DataFrame, group_chars: int = GROUP_CHARS, one_in: int = ONE_IN
     passages = F.transform(drawn, lambda i: F.struct(F.pmod(own + 1 + F.pmod(F.xxhash64("doc_id", i, F.lit(23)), F.lit(groups - 1)), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), F.substring("text", i * PASSAGE + 1, F.lit(PASSAGE)).alias("text")))
     document = F.array(F.struct(own.alias("group"), F.lit(1).alias("kind"), F.col("text").alias("text")))
     dealt = rows.select("doc_id", F.explode(F.concat(document, passages)).alias("x")).select("x.group", "x.kind", "doc_id", "x.text")
-    dealt = dealt.repartition(max(partitions(spark), 1), "group").sortWithinPartitions("group", "kind", "doc_id", F.xxhash64("text"))
+    dealt = dealt.repartitionById(partitions(spark), F.pmod(F.col("group"), F.lit(partitions(spark)))).sortWithinPartitions("group", "kind", "doc_id", F.xxhash64("text"))
     kind = "doc_id long, n_chars long, cross_phrases long, own_phrases long, reference_chars long, score double"
     found = work.save(dealt.mapInArrow(_parse, kind), "scores")
     own = found.where("n_chars > 0").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()
