@@ -93,10 +93,11 @@ def _scan(shared, n_carried: int, schema: pa.Schema, again: bool, cut: bool):
                             for s, e in zip(prior[0][d][::2], prior[0][d][1::2]):
                                 edge[first[d - x] + s] += 1
                                 edge[first[d - x] + e] -= 1
+                inside = np.cumsum(edge)[:-1] > 0
                 spans, n_hit, clean = [[] for _ in range(y - x)], [0] * (y - x), [None] * (y - x)
                 for d in items:
                     a, b = first[d], first[d + 1]
-                    hit = np.cumsum(edge[a : b + 1])[:-1] > 0  # sums before a are 0: occurrences lie in one text
+                    hit = inside[a:b]
                     turn = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
                     spans[d], n_hit[d] = turn.tolist(), int(hit.sum())
                     if cut:
