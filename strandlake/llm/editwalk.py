@@ -192,7 +192,7 @@ def fingerprinted(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
         targets = F.element_at(before, F.col("doc_id"))
     both = F.when(targets.isNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("own")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("own")), F.struct(targets.alias("to"), F.lit(1).alias("own"))))
     sent = rows.select("doc_id", "text", F.explode(both).alias("x")).select(F.col("x.to").alias("bucket"), F.col("x.own").alias("own"), "doc_id", "text")
-    sent = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "own", F.desc("doc_id"), "text")
+    sent = sent.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "own", F.desc("doc_id"), "text")
     kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return sent.mapInArrow(_compare, kind).withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
 
