@@ -228,6 +228,6 @@ def pack(docs: DataFrame, files: tuple[str, str, str] | None = None, capacity: i
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = pieces.withColumn("nth", F.row_number().over(within)).join(bases, ["length", "part"])
+    ranked = pieces.withColumn("nth", F.row_number().over(within)).join(bases.hint("merge"), ["length", "part"])  # not broadcast: it grows with the parts
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth") - 1).alias("rank"))
     return ranked.mapInArrow(_place(shared, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
