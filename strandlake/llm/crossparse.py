@@ -8,12 +8,19 @@ document's own incremental (LZ78) parsing, the relative entropy estimate of Ziv
 Merhav (1993) is (c log2 n - c0 log2 c0) / n bits per character: the less a document
 looks like the corpus, the higher.
 
-The reference is the corpus itself. Passages of PASSAGE characters are drawn from all
-documents at a fixed rate of one in ONE_IN, so what is gathered grows with the corpus;
-documents are dealt by a hash of their id to groups of about GROUP_CHARS characters, and every
-group gets its own GROUP_CHARS / ONE_IN characters of reference, never from its own
-documents. So each automaton has the same size whatever the corpus, and scores of
-different corpora can be compared. Corpus-wide means over all documents put a score in relation.
+The reference is the corpus itself, in two parts.
+
+Long phrases come from all of it. Every text is cut into pieces where a hash of the last
+CUT characters says so (one place in PIECE), so equal passages are cut alike wherever they
+stand. Runs of 1, 4, 16, ... pieces of all documents meet by their hash, and the longest
+run that another document (another id) also has, of LONG characters or more, is one phrase.
+
+What lies between is parsed against a sample, which is a bound: a phrase shorter than a
+piece, or not on the pieces' borders, is only found if it was drawn. Passages of PASSAGE
+characters are drawn from all documents at a rate of one in ONE_IN; documents are dealt by
+a hash of their id to groups of about GROUP_CHARS characters, and every group gets its own
+GROUP_CHARS / ONE_IN characters, never from its own documents. So each automaton has the
+same size whatever the corpus. Corpus-wide means over all documents put a score in relation.
 """
 
 from __future__ import annotations
@@ -21,13 +28,16 @@ from __future__ import annotations
 import gc
 import math
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Workspace, batch_of, partitions, small_batches, text_of
+from strandlake.llm.wordhash import mix
 
 GROUP_CHARS, ONE_IN, PASSAGE = 6_000_000, 32, 2048
+CUT, PIECE, LONG = 8, 48, 24
 _BREAK = "\x00"
 
 
@@ -102,23 +112,94 @@ def relative_entropy(n: int, cross: int, own: int) -> float:
     return (cross * math.log2(n + 1) - own * math.log2(max(own, 1))) / n if n else 0.0
 
 
+def runs(text: str):
+    """Borders of the text's pieces, and (pieces, hashes of the runs of so many from each piece on), shortest first."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n, odd = len(points), np.uint64(0x9E3779B97F4A7C15)
+    if not n:
+        return np.zeros(1, np.int64), []
+    seen, cuts = np.zeros(max(n - CUT + 1, 0), np.uint64), np.zeros(0, np.int64)
+    for j in range(CUT if len(seen) else 0):
+        seen = seen * odd + points[j : j + len(seen)]
+    cuts = np.flatnonzero(mix(seen) % np.uint64(PIECE) == 0) + CUT
+    borders = np.concatenate([[0], cuts[cuts < n], [n]])
+    at = np.arange(n) - np.repeat(borders[:-1], np.diff(borders))
+    sums = np.add.reduceat(mix(points * odd + at.astype(np.uint64)), borders[:-1])
+    keys, pieces, out = mix(sums + np.diff(borders).astype(np.uint64)), 1, []
+    while len(keys):
+        out.append((pieces, keys.view(np.int64)))
+        m = len(keys) - 3 * pieces
+        if m <= 0:
+            break
+        longer = np.full(m, np.uint64(pieces))
+        for j in range(4):
+            longer = mix(longer * odd + keys[j * pieces : j * pieces + m])
+        keys, pieces = longer, 4 * pieces
+    return borders, out
+
+
+def _runs(batches):
+    """(hash, document) of every run of pieces, once for each row."""
+    schema = pa.schema([("run", pa.int64()), ("doc", pa.int64())])
+    for batch in batches:
+        found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+            levels = runs(text)[1]
+            if levels:
+                found.append(np.unique(np.concatenate([keys for _, keys in levels])))
+                owners.append(np.full(len(found[-1]), doc))
+        yield batch_of(schema, np.concatenate(found), np.concatenate(owners))
+
+
+def phrases(text: str, start: dict, shared: np.ndarray) -> int:
+    """Number of phrases of text: runs of pieces that are in shared, and phrases of the automaton between them.
+
+    A run that is under three phrases of the automaton is left to it, so there are never more than without runs.
+    """
+    if not len(shared):
+        return cross_phrases(text, start)
+    borders, levels = runs(text)
+    longest = np.zeros(len(borders) - 1, np.int64)
+    known_all = np.isin(np.concatenate([keys for _, keys in levels]), shared) if levels else None
+    base = 0
+    for pieces, keys in levels:
+        known = np.flatnonzero(known_all[base : base + len(keys)])
+        base += len(keys)
+        longest[known[borders[known + pieces] - borders[known] >= LONG]] = pieces
+    count, i, done = 0, 0, 0
+    while i < len(longest):
+        own = text[borders[i] : borders[i + longest[i]]]
+        if longest[i] and (cross_phrases(own[:256], start) > 2 or len(own) > 256 and cross_phrases(own, start) > 2):
+            count += cross_phrases(text[done : borders[i]], start) + 1
+            i += longest[i]
+            done = borders[i]
+        else:
+            i += 1
+    return count + cross_phrases(text[done:], start)
+
+
 def _parse(batches):
-    """Rows sorted by group, reference passages first: score the documents of each group."""
+    """Rows sorted by group, reference passages first, then by document its shared runs and its texts: score the documents."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("cross_phrases", pa.int64()), ("own_phrases", pa.int64()), ("reference_chars", pa.int64()), ("score", pa.float64())])
-    group, parts, start, size = None, [], None, 0
+    group, parts, start, size, none = None, [], None, 0, np.zeros(0, np.int64)
+    holder, shared = None, none
     gc.disable()  # automata and tries are trees of dicts without cycles
     for batch in batches:
         out: list[list] = [[] for _ in schema]
-        for g, kind, doc, text in zip(*[batch.column(c).to_pylist() for c in ("group", "kind", "doc_id", "text")]):
+        for g, kind, doc, text, own in zip(*[batch.column(c).to_pylist() for c in ("group", "kind", "doc_id", "text")], batch.column("runs")):
             if g != group:
                 group, parts, start, size = g, [], None, 0
+                holder, shared = None, none
             if kind == 0:
                 parts.append(text)
                 continue
+            if own.is_valid:
+                holder, shared = (doc,), own.values.to_numpy()
+                continue
             if start is None:
                 joined = _BREAK.join(parts)
                 start, size, parts = automaton(joined), len(joined), []
-            cross, own = cross_phrases(text, start), own_phrases(text)
+            cross, own = phrases(text, start, shared if holder == (doc,) else none), own_phrases(text)
             for column, value in zip(out, (doc, len(text), cross, own, size, relative_entropy(len(text), cross, own))):
                 column.append(value)
         yield batch_of(schema, *out)
@@ -132,7 +213,7 @@ def scored(docs: DataFrame, group_chars: int = GROUP_CHARS, one_in: int = ONE_IN
     corpus_mean and z_score relate a score to the mean and standard deviation over all documents
     with a text. A null or empty text has no phrases, score 0 and z_score null. Rows that repeat an id
     fall into one group and are scored each. A null id is dealt like any other. An empty table gives no
-    rows; with so few documents that no passage is drawn, every character is a phrase. Other columns are ignored.
+    rows; with so few documents that no passage is drawn, every character outside shared runs is a phrase. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -147,7 +228,14 @@ def scored(docs: DataFrame, group_chars: int = GROUP_CHARS, one_in: int = ONE_IN
     passages = F.transform(drawn, lambda i: F.struct(F.pmod(own + 1 + F.pmod(F.xxhash64("doc_id", i, F.lit(23)), F.lit(groups - 1)), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), F.substring("text", i * PASSAGE + 1, F.lit(PASSAGE)).alias("text")))
     document = F.array(F.struct(own.alias("group"), F.lit(1).alias("kind"), F.col("text").alias("text")))
     dealt = rows.select("doc_id", F.explode(F.concat(document, passages)).alias("x")).select("x.group", "x.kind", "doc_id", "x.text")
-    dealt = dealt.repartitionById(partitions(spark), F.pmod(F.col("group"), F.lit(partitions(spark)))).sortWithinPartitions("group", "kind", "doc_id", F.xxhash64("text"))
+    least = -(2**63)
+    pieces = rows.select(F.coalesce("doc_id", F.lit(least)).alias("doc"), "text").mapInArrow(_runs, "run long, doc long")
+    of_run = Window.partitionBy("run")
+    shared = pieces.withColumns({"first": F.min("doc").over(of_run), "last": F.max("doc").over(of_run)}).where("first <> last")
+    shared = shared.groupBy("doc").agg(F.collect_list("run").alias("runs")).select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), "runs")
+    shared = shared.select(own.alias("group"), F.lit(1).alias("kind"), "doc_id", F.lit("").alias("text"), "runs")
+    dealt = dealt.withColumn("runs", F.lit(None).cast("array<long>")).unionByName(shared)
+    dealt = dealt.repartitionById(partitions(spark), F.pmod(F.col("group"), F.lit(partitions(spark)))).sortWithinPartitions("group", "kind", "doc_id", F.col("runs").isNull(), F.xxhash64("text"))
     kind = "doc_id long, n_chars long, cross_phrases long, own_phrases long, reference_chars long, score double"
     found = work.save(dealt.mapInArrow(_parse, kind), "scores")
     own = found.where("n_chars > 0").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()

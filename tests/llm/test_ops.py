@@ -434,6 +434,21 @@ def test_scores(docs, empty, spark):
     assert min(r["score"] for r in got if r["doc_id"] >= 1000) > max(r["score"] for r in got if r["doc_id"] < 1000)
 
 
+def test_scores_see_copies_in_the_whole_corpus(spark):
+    rows = [(i, prose(300, 5000 + i)) for i in range(60)]
+    passage = rows[1][1][500:1500]
+    rows += [(100, rows[0][1]), (101, prose(100, 1) + passage + prose(100, 2)), (None, rows[2][1]), (3, rows[3][1])]
+    # no passage is drawn at such a rate: what is found comes from the whole corpus
+    got = crossparse.scored(spark.createDataFrame(rows, "doc_id long, text string"), group_chars=20_000, one_in=10**9).collect()
+    ratio = defaultdict(list)
+    for r in got:
+        assert r["reference_chars"] == 0
+        ratio[r["doc_id"]].append(r["cross_phrases"] / r["n_chars"])
+    assert all(max(ratio[i]) < 0.05 for i in (0, 100, 2, None))
+    assert ratio[1][0] < 0.7 and ratio[101][0] < 0.7
+    assert min(ratio[3] + ratio[4]) > 0.9 and len(ratio[3]) == 2  # a repeated id is no other document
+
+
 # 10 quality
 
 
