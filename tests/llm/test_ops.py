@@ -304,6 +304,21 @@ def test_near_by_edits(spark, empty):
     assert editwalk.near_by_edits(empty).count() == 0
 
 
+def test_near_by_edits_finds_edits_all_over(spark):
+    rows = []
+    for i, (n, percent) in enumerate([(n, p) for n in (500, 2000, 10_000) for p in (1, 4.5) for _ in range(4)]):
+        r, text = random.Random(i), prose(n, 700 + i)[:n]
+        chars = list(text)
+        for _ in range(int(n * percent / 100)):
+            k, at = r.randrange(3), r.randrange(len(chars))
+            chars[at : at + (k > 0)] = [r.choice("abcdefgh")] if k < 2 else []
+        assert editwalk.edit_distance(text, "".join(chars)) * 20 <= max(n, len(chars))
+        rows += [(2 * i, text), (2 * i + 1, "".join(chars))]
+    got = {r["doc_id"]: r["component_id"] for r in editwalk.near_by_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[i] == i - 1 for i in got if i % 2) >= 0.9 * len(rows) / 2
+
+
 # 5 chat
 
 
