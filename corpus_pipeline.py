@@ -30,9 +30,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those of which no learned language contains enough."""
-    columns = docs.columns
-    named = language.predict(docs, language.fit(docs)).toDF(*columns, "lang_pred_", "score_", "coverage_")
+    """Drops documents without letters and those of which no learned language contains enough; none where none was learnt."""
+    columns, model = docs.columns, language.fit(docs)
+    if not model.languages:
+        return docs
+    named = language.predict(docs, model).toDF(*columns, "lang_pred_", "score_", "coverage_")
     return named.where((F.col("lang_pred_") != language.UNKNOWN) & (F.col("coverage_") >= COVERAGE)).select(*columns)
 
 

@@ -11,8 +11,8 @@ everything else. A language keeps an n-gram if its rate there is at least SHARE
 the n-gram's highest rate in any language.
 
 Fitting reads at most FIT_ROWS documents in expectation of each language (those with
-the least seeded hash; a documented bound: 3,000), at most MAX_LANGUAGES languages (256)
-and keeps at most GRAMS n-grams of each (60,000), so the filter has a fixed size.
+the least seeded hash; a documented bound: 3,000) and keeps at most GRAMS n-grams of each
+(60,000), of all languages that occur; the filter has a bit for each language and place.
 Every document is predicted from all of its text.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import batch_of, small_batches, text_of
 from strandlake.llm.wordhash import byte_slices, mix, string_buffers
 
-FIT_ROWS, GRAMS, MAX_LANGUAGES, SHARE = 3000, 60_000, 256, 0.4
+FIT_ROWS, GRAMS, SHARE = 3000, 60_000, 0.4
 LENGTHS, HASHES, PLACES = (2, 3, 4), 3, 1 << 20
 UNKNOWN = "und"
 
@@ -91,8 +91,8 @@ class Filter:
         for i, own in enumerate(members):
             for at in _places(own):
                 self.table[at, i // 8] |= np.uint8(1 << i % 8)
-        bits = np.unpackbits(self.table, axis=1, bitorder="little")[:, : len(languages)]
-        self.chance = bits.mean(0) ** HASHES
+        share = [np.unpackbits(column[:, None], axis=1, bitorder="little").mean(0) for column in self.table.T]  # a byte of languages at a time
+        self.chance = np.concatenate(share)[: len(languages)] ** HASHES
 
     def hits(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams, n-grams contained by each language) for each of n texts."""
@@ -125,11 +125,11 @@ def _count(batches):
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filter:
     """The filter learnt from labelled(doc_id, text, lang); rows with a null lang are left out."""
     labelled = labelled.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of())
-    counts = [(r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    counts = [(r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
     if not counts:
         return Filter([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, fit_rows / n))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, fit_rows / n)) for lang, n in counts], "lang string, share double")
+    chosen = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     by_gram = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     of_language = Window.partitionBy("lang")
     rated = by_gram.withColumn("rate", F.col("n") / F.sum("n").over(of_language)).withColumn("most", F.max("rate").over(Window.partitionBy("gram")))

@@ -188,6 +188,12 @@ def test_language(docs, empty, spark):
     assert {r["lang_pred"] for r in language.predict(docs, language.fit(empty)).collect()} == {"und"}
 
 
+def test_more_than_256_languages(spark):
+    rows = [(i, "".join(chr(0x4E00 + 8 * i + j) for j in range(8)) * 4, f"l{i:03}") for i in range(270)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r["lang"] == r["lang_pred"] for r in language.predict(df, language.fit(df)).collect())
+
+
 def test_bit_slices_equal_filters_of_each_language():
     r = np.random.default_rng(3)
     members = [r.integers(0, 2**63, 3000).astype(np.uint64) for _ in range(11)]

@@ -50,6 +50,11 @@ def test_stages_one_by_one(spark):
         docs = after
 
 
+def test_language_stage_keeps_all_where_no_language_is_known(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "other text", None)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.language_filter(spark, docs, SF).count() == 2
+
+
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_dedup", "decontaminate", "packing"]
     assert entry.queries()["pipeline"](spark, SF).count() > 0
