@@ -236,6 +236,15 @@ def test_urls(spark):
     assert urls.judged(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_url_do_not_fill_the_fit(spark):
+    urls_ = [f"http://a{i}.{end}" for i in range(60) for end in ("org/x", "com/de/y", "net/z")]
+    scores = []
+    for copies in (1, 40):
+        rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls_) for _ in range(copies)], "page_id long, url string")
+        scores.append({(r["page_id"], r["score"], r["threshold"]) for r in urls.judged(rows, fit_rows=30).collect()})
+    assert scores[0] == scores[1]
+
+
 def test_ratio_decides_unruled_urls():
     accepted = [f"http://h{i}.{t}/{p}/{i}" for i in range(60) for t, p in (("org", "q"), ("com", "fr"))]
     ratio = urls.Ratio(accepted, [f"http://h{i}.com/de/{i}" for i in range(60)])
