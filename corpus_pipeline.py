@@ -39,12 +39,23 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five words, 0.8) the document with the least id."""
-    found = neardup.near_duplicates(docs, shingle=5)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_"), "left_anti")
-    # repeated rows of one id are one document
-    return kept.where(F.col("doc_id").isNull()).unionByName(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    """Keeps of each group of near duplicates (five words, 0.8) one row: that with the least id.
+
+    Rows are judged each by its own text, so different texts under one id all stay. Rows
+    without an id come after those with one; of rows with the same least id, one stays. Texts
+    without words are near nothing and all stay, but for repeats of one id and text.
+    """
+    columns, work = docs.columns, Workspace(spark)
+    # written, so that a row's number is the same whenever it is read
+    rows = work.save(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text"), shingle=5, work=work)
+    found = found.select(F.col("doc_id").alias("row_"), "component_id", (F.col("n_shingles") == 0).alias("blank_"))
+    named = rows.select("row_", F.col("doc_id").cast("long").alias("id_"), F.xxhash64("text").alias("text_")).join(found, "row_")
+    # a blank row is its own group, or with an id that of the id and text
+    own = F.col("blank_") & F.col("id_").isNotNull()
+    group = [F.when(~own, F.col("component_id")).alias("g_"), F.when(own, F.col("id_")).alias("i_"), F.when(own, F.col("text_")).alias("t_")]
+    kept = named.groupBy(*group).agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "text_", "row_"))["row_"].alias("row_"))
+    return rows.join(kept.select("row_"), "row_", "left_semi").select(*columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

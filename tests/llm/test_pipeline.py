@@ -55,6 +55,13 @@ def test_language_stage_keeps_all_where_no_language_is_known(spark):
     assert corpus_pipeline.language_filter(spark, docs, SF).count() == 2
 
 
+def test_near_dedup_decides_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(5, a), (1, a), (5, b), (None, c), (None, c), (7, d), (7, d), (None, b), (9, ""), (9, ""), (9, None), (10, " ")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), SF).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (5, b), (None, c), (7, d), (9, ""), (9, None), (10, " ")]))
+
+
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_dedup", "decontaminate", "packing"]
     assert entry.queries()["pipeline"](spark, SF).count() > 0
