@@ -1,26 +1,35 @@
 """Language-model scoring by Ziv-Merhav cross-parsing.
 
-A document is factored greedily into the longest phrases that occur in a reference
-text (a character that does not occur is a phrase of its own); a suffix automaton of
-the reference, which has a path for each of its substrings, finds a phrase in time
-linear in it. With n characters, c phrases against the reference and c0 phrases of the
-document's own incremental (LZ78) parsing, the relative entropy estimate of Ziv and
-Merhav (1993) is (c log2 n - c0 log2 c0) / n bits per character: the less a document
-looks like the corpus, the higher.
-
-The reference is the corpus itself, in two parts.
-
-Long phrases come from all of it. Every text is cut into pieces where a hash of the last
-CUT characters says so (one place in PIECE), so equal passages are cut alike wherever they
-stand. Runs of 1, 4, 16, ... pieces of all documents meet by their hash, and the longest
-run that another document (another id) also has, of LONG characters or more, is one phrase.
-
-What lies between is parsed against a sample, which is a bound: a phrase shorter than a
-piece, or not on the pieces' borders, is only found if it was drawn. Passages of PASSAGE
-characters are drawn from all documents at a rate of one in ONE_IN; documents are dealt by
-a hash of their id to groups of about GROUP_CHARS characters, and every group gets its own
-GROUP_CHARS / ONE_IN characters, never from its own documents. So each automaton has the
-same size whatever the corpus. Corpus-wide means over all documents put a score in relation.
+A document is factored greedily into the longest phrases that occur in a reference text (a
+character that does not occur is a phrase of its own). With c phrases against a reference
+of N characters and c0 phrases of the document's own incremental (LZ78) parsing, the
+relative entropy estimate of Ziv and Merhav (1993), for a reference that is longer than the
+text, is (c log2 N - c0 log2 c0) / n bits per character of a text of n: the less a document
+looks like the reference, the higher. A phrase costs a place in the reference, so many
+bits; LZ78 costs a short text more than that, so a text of which the corpus knows long
+stretches has a score below 0.
+
+The reference is the corpus itself: every other document, in two parts that leave out nothing.
+
+Blocks. All texts are dealt to blocks of about BLOCK characters by a hash, and every text
+is parsed against the whole rest of its block. The places of a text's longest match
+are the states of a suffix automaton; for all texts of a block at once they come from the
+automaton's sorted form: states of the automaton of the reversed block are the intervals of
+its sorted suffixes that share a prefix, and the longest match of a place with other
+documents is the depth of the least interval around it that holds another document's suffix.
+
+Corpus. A phrase of two dozen characters or more may stand in any other block. Every text is cut
+into pieces where a hash of CUT characters is the least of GAP places on each side (49
+characters on average, 25 at least), so equal passages are cut alike wherever they stand. Pieces
+of all documents meet by their hash. A piece that another document has is linked with one
+such place, the same for all pieces of a passage; adjacent pieces whose places are adjacent make one
+match, as long as the passage. The parsing takes the longer of the two matches at every place.
+
+What is not found: a match of another block that holds no whole piece (shorter than some
+100 characters), and a longer one's ends up to the first and from the last border of a piece.
+
+A given reference text, as of a benchmark or a language, goes by `against`, with the suffix
+automaton itself.
 """
 
 from __future__ import annotations
@@ -30,15 +39,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Workspace, batch_of, partitions, small_batches, text_of
 from strandlake.llm.wordhash import mix
 
-GROUP_CHARS, ONE_IN, PASSAGE = 6_000_000, 32, 2048
-CUT, PIECE, LONG = 8, 48, 24
-_BREAK = "\x00"
+#: Characters of a block, in expectation; a task cuts a block off at twice as many.
+BLOCK = 1 << 20
+#: Longer texts are parsed in segments of this many characters, dealt to blocks each.
+SEGMENT = 1 << 16
+CUT, GAP = 8, 24
+#: Longest reference text of `against`: its automaton takes some 600 bytes a character in every worker.
+REFERENCE = 1_000_000
+#: A piece that more than one in HOT of all shared ones equal is joined by broadcast: HOT rows at most.
+HOT = 20_000
+_LOW = (1 << 20) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def automaton(text: str) -> dict:
@@ -78,7 +95,7 @@ def automaton(text: str) -> dict:
 
 def cross_phrases(text: str, start: dict) -> int:
     """Number of phrases in the greedy factoring of text by longest matches in the automaton's text."""
-    count, state, missing = 0, start, {}
+    count, state = 0, start
     for c in text:
         following = state.get(c)
         if following is None:
@@ -107,137 +124,349 @@ def own_phrases(text: str) -> int:
     return count + (state is not root)
 
 
-def relative_entropy(n: int, cross: int, own: int) -> float:
-    """Bits per character; 0 for an empty text."""
-    return (cross * math.log2(n + 1) - own * math.log2(max(own, 1))) / n if n else 0.0
-
-
-def runs(text: str):
-    """Borders of the text's pieces, and (pieces, hashes of the runs of so many from each piece on), shortest first."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n, odd = len(points), np.uint64(0x9E3779B97F4A7C15)
-    if not n:
-        return np.zeros(1, np.int64), []
-    seen, cuts = np.zeros(max(n - CUT + 1, 0), np.uint64), np.zeros(0, np.int64)
-    for j in range(CUT if len(seen) else 0):
-        seen = seen * odd + points[j : j + len(seen)]
-    cuts = np.flatnonzero(mix(seen) % np.uint64(PIECE) == 0) + CUT
-    borders = np.concatenate([[0], cuts[cuts < n], [n]])
-    at = np.arange(n) - np.repeat(borders[:-1], np.diff(borders))
-    sums = np.add.reduceat(mix(points * odd + at.astype(np.uint64)), borders[:-1])
-    keys, pieces, out = mix(sums + np.diff(borders).astype(np.uint64)), 1, []
-    while len(keys):
-        out.append((pieces, keys.view(np.int64)))
-        m = len(keys) - 3 * pieces
-        if m <= 0:
-            break
-        longer = np.full(m, np.uint64(pieces))
-        for j in range(4):
-            longer = mix(longer * odd + keys[j * pieces : j * pieces + m])
-        keys, pieces = longer, 4 * pieces
-    return borders, out
-
-
-def _runs(batches):
-    """(hash, document) of every run of pieces, once for each row."""
-    schema = pa.schema([("run", pa.int64()), ("doc", pa.int64())])
-    for batch in batches:
-        found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-            levels = runs(text)[1]
-            if levels:
-                found.append(np.unique(np.concatenate([keys for _, keys in levels])))
-                owners.append(np.full(len(found[-1]), doc))
-        yield batch_of(schema, np.concatenate(found), np.concatenate(owners))
+def own_bits(phrases: int) -> float:
+    return phrases * math.log2(max(phrases, 1))
 
 
-def phrases(text: str, start: dict, shared: np.ndarray) -> int:
-    """Number of phrases of text: runs of pieces that are in shared, and phrases of the automaton between them.
+class Suffixes:
+    """The sorted suffixes of a text of symbols below 2**bits, and the longest common prefixes of neighbours.
 
-    A run that is under three phrases of the automaton is left to it, so there are never more than without runs.
+    order: places by their suffix; common[r]: symbols that the suffixes order[r - 1] and
+    order[r] share. Sorted by words of `width` symbols, then by twice as many at a time, and
+    each time only the places that others still equal.
     """
-    if not len(shared):
-        return cross_phrases(text, start)
-    borders, levels = runs(text)
-    longest = np.zeros(len(borders) - 1, np.int64)
-    known_all = np.isin(np.concatenate([keys for _, keys in levels]), shared) if levels else None
-    base = 0
-    for pieces, keys in levels:
-        known = np.flatnonzero(known_all[base : base + len(keys)])
-        base += len(keys)
-        longest[known[borders[known + pieces] - borders[known] >= LONG]] = pieces
-    count, i, done = 0, 0, 0
-    while i < len(longest):
-        own = text[borders[i] : borders[i + longest[i]]]
-        if longest[i] and (cross_phrases(own[:256], start) > 2 or len(own) > 256 and cross_phrases(own, start) > 2):
-            count += cross_phrases(text[done : borders[i]], start) + 1
-            i += longest[i]
-            done = borders[i]
-        else:
-            i += 1
-    return count + cross_phrases(text[done:], start)
+
+    def __init__(self, symbols: np.ndarray, bits: int):
+        n, self.bits, width = len(symbols), bits, 63 // bits
+        words = np.zeros(n + width, np.int64)
+        for j in range(width):
+            words[:n] <<= bits
+            words[: max(n - j, 0)] |= symbols[j:]
+        words[n:] = 0
+        self.n, self.words = n, words
+        self.order = order = np.argsort(words[:n])
+        found = words[order]
+        fresh = np.ones(n, bool)
+        np.not_equal(found[1:], found[:-1], out=fresh[1:])
+        self.common = np.zeros(n, np.int64)
+        at = np.flatnonzero(fresh[1:]) + 1
+        self.common[at] = self._equal(order[at - 1], order[at], width)
+        # for each place the first position of its group of equals so far; -1 after the end
+        rank = np.full(n + 1, -1, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
+        self.ranks, depth, index = [rank], width, np.arange(n)
+        while True:
+            tied = ~fresh[index]
+            tied[:-1] |= tied[1:]  # the first of a group is fresh itself
+            index = index[tied]
+            if not len(index):
+                break
+            sub = order[index]
+            # suffixes that end before are below all others, the shorter first
+            after = np.where(sub + depth < n, rank[np.minimum(sub + depth, n)].astype(np.int64) + n + 1, n - sub)
+            key = rank[sub].astype(np.int64) * (2 * n + 2) + after
+            moved = np.argsort(key)
+            key, sub = key[moved], sub[moved]
+            order[index] = sub
+            apart = np.flatnonzero((key[1:] != key[:-1]) & ~fresh[index[1:]]) + 1
+            at = index[apart]
+            fresh[at] = True
+            rank = rank.copy()
+            rank[sub] = np.maximum.accumulate(np.where(fresh[index], index, 0))
+            self.ranks.append(rank)
+            self.common[at] = self._shared(order[at - 1], order[at], depth)
+            depth *= 2
+        del self.ranks
+
+    def _equal(self, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+        """Symbols that two different words share at their start."""
+        x = self.words[a] ^ self.words[b]
+        x &= ~(x >> 1)  # so that no rounding reaches the next power of two
+        return (width * self.bits - np.frexp(x.astype(np.float64))[1]) // self.bits
+
+    def _shared(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+        """Length of the common prefix of suffixes that agree for `depth` symbols but not for twice as many."""
+        n, width, length = self.n, 63 // self.bits, np.full(len(a), depth)
+        a, b = np.minimum(a + depth, n), np.minimum(b + depth, n)
+        for t in range(len(self.ranks) - 3, -1, -1):
+            step = np.where(self.ranks[t][a] == self.ranks[t][b], width << t, 0)
+            length += step
+            a, b = np.minimum(a + step, n), np.minimum(b + step, n)
+        return length + self._equal(a, b, width)
+
+
+def longest_matches(symbols: np.ndarray, bits: int, owner: np.ndarray) -> np.ndarray:
+    """For each place the most symbols from there on that also stand at a place of another owner."""
+    if not len(symbols):
+        return np.zeros(0, np.int64)
+    suffixes = Suffixes(symbols, bits)
+    order, common = suffixes.order, suffixes.common
+    own = owner[order]
+    run = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
+    far = len(symbols) + 1
+    # the least common prefix from a run's border on, started anew in every run
+    best = np.minimum.accumulate(common - run * far) + run * far
+    below, back = np.append(common[1:], 0)[::-1], (run[-1] - run)[::-1]
+    np.maximum(best, (np.minimum.accumulate(below - back * far) + back * far)[::-1], out=best)
+    out = np.empty(len(symbols), np.int64)
+    out[order] = best
+    return out
 
 
-def _parse(batches):
-    """Rows sorted by group, reference passages first, then by document its shared runs and its texts: score the documents."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("cross_phrases", pa.int64()), ("own_phrases", pa.int64()), ("reference_chars", pa.int64()), ("score", pa.float64())])
-    group, parts, start, size, none = None, [], None, 0, np.zeros(0, np.int64)
-    holder, shared = None, none
-    gc.disable()  # automata and tries are trees of dicts without cycles
+def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of all texts: number of the text, first character, length, hash."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(lengths + GAP) - lengths  # GAP places between texts, so that none sees another
+    ends = first + lengths
+    points = np.frombuffer(("\0" * GAP).join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points)
+    # hash of the CUT characters before each place of a text; the greatest value where there are fewer
+    window = np.zeros(n - CUT, np.uint64)
+    for j in range(CUT):
+        window = window * _ODD + points[j : j + len(window)]
+    long = lengths > CUT
+    change = np.zeros(n + 1, np.int8)
+    change[first[long] + CUT], change[ends[long]] = 1, -1
+    seen = np.full(n, 2**32 - 1, np.uint32)
+    np.copyto(seen[CUT:], (mix(window) >> np.uint64(33)).astype(np.uint32), where=np.cumsum(change[CUT:n], dtype=np.int8).astype(bool))
+    least, span = seen, 1  # of GAP places from each on
+    while span < GAP:
+        step = min(span, GAP - span)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        span += step
+    here = seen[GAP : n - GAP]
+    cuts = np.flatnonzero((here < least[: len(here)]) & (here <= least[GAP + 1 :][: len(here)])) + GAP
+    starts = np.union1d(np.concatenate([cuts, first]), ends)
+    sizes = np.diff(np.append(starts, n))
+    at = (np.arange(n - starts[0]) - np.repeat(starts - starts[0], sizes)).astype(np.uint64)
+    sums = np.add.reduceat(mix(points[starts[0] :] * _ODD + at), starts - starts[0])
+    inside = ~np.isin(starts, ends, assume_unique=True)
+    starts, sizes, sums = starts[inside], sizes[inside], sums[inside]
+    text = np.searchsorted(first, starts, "right") - 1
+    return text, starts - first[text], sizes, mix(sums + sizes.astype(np.uint64))
+
+
+def _segmented(batch):
+    """(doc, number of the segment, doc_id, copies, text) of the different documents of a batch."""
+    copies: dict = {}
+    for doc, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("doc", "doc_id", "text")]):
+        known = copies.setdefault(doc, [doc_id, 0, text])
+        known[1] += 1
+    for doc, (doc_id, n, text) in copies.items():
+        for i in range(max(1, -(-len(text) // SEGMENT))):
+            yield doc, i, doc_id, n, text[i * SEGMENT : (i + 1) * SEGMENT]
+
+
+def _segments(batches):
+    schema = pa.schema([("doc", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("text", pa.string())])
     for batch in batches:
-        out: list[list] = [[] for _ in schema]
-        for g, kind, doc, text, own in zip(*[batch.column(c).to_pylist() for c in ("group", "kind", "doc_id", "text")], batch.column("runs")):
-            if g != group:
-                group, parts, start, size = g, [], None, 0
-                holder, shared = None, none
-            if kind == 0:
-                parts.append(text)
-                continue
-            if own.is_valid:
-                holder, shared = (doc,), own.values.to_numpy()
-                continue
-            if start is None:
-                joined = _BREAK.join(parts)
-                start, size, parts = automaton(joined), len(joined), []
-            cross, own = phrases(text, start, shared if holder == (doc,) else none), own_phrases(text)
-            for column, value in zip(out, (doc, len(text), cross, own, size, relative_entropy(len(text), cross, own))):
+        rows = list(_segmented(batch))
+        for a in range(0, len(rows), 2000):
+            yield batch_of(schema, *(zip(*rows[a : a + 2000])))
+
+
+def _pieces(batches):
+    """(piece, doc, place) of every piece; place holds the segment, the first character in it (16 bits) and the length (17 bits)."""
+    schema = pa.schema([("piece", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+
+    def made(rows):
+        text, start, size, key = pieces([r[4] for r in rows])
+        docs, segments = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        return batch_of(schema, key.view(np.int64), docs[text], segments[text] << 33 | start << 17 | size)
+
+    for batch in batches:
+        rows, chars = [], 0
+        for row in _segmented(batch):
+            rows.append(row)
+            chars += len(row[4])
+            if chars > 1 << 20:
+                yield made(rows)
+                rows, chars = [], 0
+        if rows:
+            yield made(rows)
+
+
+def stretches(places: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-plus-one characters of the matches that adjacent linked pieces make; places are sorted."""
+    if not len(places):
+        return places, places
+    start, size = (places >> 17) & 0xFFFF, places & 0x1FFFF
+    joined = (links[1:] == links[:-1]) & (start[1:] == start[:-1] + size[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~joined]))
+    last = np.append(first[1:], len(places)) - 1
+    return start[first], start[last] + size[last]
+
+
+def parsed(texts: list[str], owners: list[int], matches: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """For each text of a block: phrases found in the block or of one unknown character, longer phrases found in the corpus, characters of other owners.
+
+    matches: for each text its stretches found in the corpus.
+    """
+    lengths = np.array([len(t) for t in texts], np.int64)
+    first = np.concatenate([[0], np.cumsum(lengths + 1)])
+    points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    inside = np.ones(len(points), bool)
+    inside[first[1:] - 1] = False  # a 0 between texts, below all characters
+    used[points[inside]] = True
+    symbols = np.where(inside, np.cumsum(used)[points], 0)
+    names = np.repeat(np.array(owners, np.int64), lengths + 1)
+    depth = longest_matches(symbols, int(used.sum()).bit_length() or 1, names)
+    place = np.arange(len(points))
+    ends = np.repeat(first[1:] - 1, lengths + 1)
+    reach = 2 * np.minimum(np.maximum(place + depth, place + 1), np.maximum(ends, place + 1))
+    for base, (starts, stops) in zip(first.tolist(), matches):
+        for a, b in zip((starts + base).tolist(), (stops + base).tolist()):
+            np.maximum(reach[a:b], 2 * b + 1, out=reach[a:b], where=reach[a:b] < 2 * b)
+    total, out, of = int(lengths.sum()), [], {}
+    for owner, n in zip(owners, lengths.tolist()):
+        of[owner] = of.get(owner, 0) + n
+    for i, n in enumerate(lengths.tolist()):
+        base = int(first[i])
+        jump, at, count, known = (reach[base : base + n] - 2 * base).tolist(), 0, 0, 0
+        while at < n:
+            value = jump[at]
+            count += 1
+            known += value & 1
+            at = value >> 1
+        out.append((count - known, known, total - of[owners[i]]))
+    return out
+
+
+_PARSED = pa.schema([("doc", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("near", pa.int64()), ("far", pa.int64()), ("own", pa.int64()), ("reference", pa.int64()), ("cross_bits", pa.float64()), ("own_bits", pa.float64())])
+_PARSED_KIND = ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in _PARSED)
+
+
+def _parse(block: int, corpus: int):
+    """Rows sorted by group, document and segment, each text before its linked pieces: parses whole blocks."""
+
+    def done(rows):
+        if not rows:
+            return batch_of(_PARSED, *[[] for _ in _PARSED])
+        found = []
+        for row in rows:
+            places, at = np.unique(np.concatenate([np.zeros(0, np.int64), *row[5]]), return_index=True)
+            found.append(stretches(places, np.concatenate([np.zeros(0, np.int64), *row[6]])[at]))
+        counts = parsed([r[4] for r in rows], [r[0] for r in rows], found)
+        out: list[list] = [[] for _ in _PARSED]
+        for row, (near, far, reference) in zip(rows, counts):
+            n, own = len(row[4]), own_phrases(row[4])
+            cross = near * math.log2(max(reference, n) + 1) + far * math.log2(corpus + 1)
+            for column, value in zip(out, (*row[:4], n, near, far, own, reference, cross, own_bits(own))):
                 column.append(value)
-        yield batch_of(schema, *out)
-    gc.enable()
+        return batch_of(_PARSED, *out)
+
+    def run(batches):
+        group, rows, chars = None, [], 0
+        gc.disable()  # tries are trees of dicts without cycles
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                texts = batch.column("text")
+                heads = np.flatnonzero(np.asarray(texts.is_valid()))
+                places, links = (batch.column(c).fill_null(0).to_numpy() for c in ("place", "link"))
+                borders = [*heads.tolist(), batch.num_rows]
+                if borders[0] and rows:
+                    rows[-1][5].append(places[: borders[0]].copy())
+                    rows[-1][6].append(links[: borders[0]].copy())
+                heads = batch.take(pa.array(heads)).to_pydict()
+                for i, row in enumerate(zip(*[heads[c] for c in ("doc", "segment", "doc_id", "copies", "text")])):
+                    if rows and group == heads["group"][i] and rows[-1][:2] == list(row[:2]):
+                        rows[-1][3] += row[3]
+                    else:
+                        if group != heads["group"][i] or chars >= 2 * block:
+                            if rows:
+                                yield done(rows)
+                            group, rows, chars = heads["group"][i], [], 0
+                        rows.append([*row, [], []])
+                        chars += len(row[4])
+                    if borders[i] + 1 < borders[i + 1]:
+                        rows[-1][5].append(places[borders[i] + 1 : borders[i + 1]].copy())
+                        rows[-1][6].append(links[borders[i] + 1 : borders[i + 1]].copy())
+            yield done(rows)
+        finally:
+            gc.enable()
+
+    return run
 
 
-def scored(docs: DataFrame, group_chars: int = GROUP_CHARS, one_in: int = ONE_IN, work: Workspace | None = None) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_chars, cross_phrases, own_phrases,
-    reference_chars, score (bits per character), corpus_mean, z_score.
+def _linked(rows: DataFrame, work: Workspace) -> DataFrame:
+    """doc, place, link for every piece that another document has; equal links are places of one document at one distance."""
+    found = rows.mapInArrow(_pieces, "piece long, doc long, place long")
+    # a document's hash and a place in it in one number: the least and the greatest are the places that the others are linked with
+    found = found.withColumn("at", F.col("doc").bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.shiftright("place", 17).bitwiseAND(F.lit(_LOW))))
+    shared = found.groupBy("piece").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("times"))
+    shared = work.save(shared.where(F.shiftright("low", 20) != F.shiftright("high", 20)), "shared")
+    often = shared.where(F.col("times") > (shared.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] // HOT))
+    other = lambda t: F.when(F.shiftright(f"{t}low", 20) == F.shiftright("at", 20), F.col(f"{t}high")).otherwise(F.col(f"{t}low"))
+    # hot pieces, HOT at most, are joined where they stand; the others meet by their hash, and the hot ones' rows are spread
+    hot = often.select("piece", F.col("low").alias("hot_low"), F.col("high").alias("hot_high"))
+    found = found.join(F.broadcast(hot), "piece", "left").withColumn("piece", F.when(F.col("hot_low").isNull(), F.col("piece")).otherwise(F.xxhash64("at")))
+    found = found.join(shared.select("piece", "low", "high"), "piece", "left")
+    source = F.when(F.col("hot_low").isNotNull(), other("hot_")).otherwise(other(""))
+    found = found.select("doc", "place", "at", source.alias("source")).where("source is not null")
+    distance = (F.col("source").bitwiseAND(F.lit(_LOW)) - F.col("at").bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_LOW))
+    return found.select("doc", "place", F.col("source").bitwiseAND(F.lit(~_LOW)).bitwiseOR(distance).alias("link"))
 
-    corpus_mean and z_score relate a score to the mean and standard deviation over all documents
-    with a text. A null or empty text has no phrases, score 0 and z_score null. Rows that repeat an id
-    fall into one group and are scored each. A null id is dealt like any other. An empty table gives no
-    rows; with so few documents that no passage is drawn, every character outside shared runs is a phrase. Other columns are ignored.
+
+def scored(docs: DataFrame, block: int = BLOCK, work: Workspace | None = None) -> DataFrame:
+    """One row for each row of docs(doc_id, text): doc_id, n_chars, cross_phrases, corpus_phrases,
+    own_phrases, reference_chars, corpus_chars, score (bits per character), corpus_mean, z_score.
+
+    cross_phrases are all phrases against the corpus, corpus_phrases those of them that are found
+    by pieces and longer than any in the text's block. reference_chars are the characters of other
+    documents in its block (of its segments' blocks), corpus_chars those of all documents, which the pieces cover.
+    corpus_mean and z_score relate a score to the mean and standard deviation over all documents with a text.
+
+    A null or empty text has no phrases, score 0 and z_score null. Rows of one id and text are one
+    document, no other one for each other, and each has a row of the result; different texts of one id
+    or without id are different documents. Texts longer than SEGMENT are parsed in segments: a phrase
+    ends where a segment ends, and both kinds of phrases are counted by segments. An empty table gives no
+    rows; a document alone has a phrase for each character. Of equally long matches it does not
+    matter which is taken. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     work = work or Workspace(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of())
-    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    groups = max(2, round(chars / group_chars))
-    own = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(groups)).cast("int")
-    # passages of long texts go to different groups, so a long document is no group's whole reference
-    numbers = F.sequence(F.lit(0), (F.length("text") / PASSAGE).cast("int"))
-    drawn = F.filter(numbers, lambda i: F.pmod(F.xxhash64("doc_id", i, F.lit(17)), F.lit(one_in)) == 0)
-    passages = F.transform(drawn, lambda i: F.struct(F.pmod(own + 1 + F.pmod(F.xxhash64("doc_id", i, F.lit(23)), F.lit(groups - 1)), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), F.substring("text", i * PASSAGE + 1, F.lit(PASSAGE)).alias("text")))
-    document = F.array(F.struct(own.alias("group"), F.lit(1).alias("kind"), F.col("text").alias("text")))
-    dealt = rows.select("doc_id", F.explode(F.concat(document, passages)).alias("x")).select("x.group", "x.kind", "doc_id", "x.text")
-    least = -(2**63)
-    pieces = rows.select(F.coalesce("doc_id", F.lit(least)).alias("doc"), "text").mapInArrow(_runs, "run long, doc long")
-    of_run = Window.partitionBy("run")
-    shared = pieces.withColumns({"first": F.min("doc").over(of_run), "last": F.max("doc").over(of_run)}).where("first <> last")
-    shared = shared.groupBy("doc").agg(F.collect_list("run").alias("runs")).select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), "runs")
-    shared = shared.select(own.alias("group"), F.lit(1).alias("kind"), "doc_id", F.lit("").alias("text"), "runs")
-    dealt = dealt.withColumn("runs", F.lit(None).cast("array<long>")).unionByName(shared)
-    dealt = dealt.repartitionById(partitions(spark), F.pmod(F.col("group"), F.lit(partitions(spark)))).sortWithinPartitions("group", "kind", "doc_id", F.col("runs").isNull(), F.xxhash64("text"))
-    kind = "doc_id long, n_chars long, cross_phrases long, own_phrases long, reference_chars long, score double"
-    found = work.save(dealt.mapInArrow(_parse, kind), "scores")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()).select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
+    chars = rows.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    groups, n = max(1, round(chars / block)), partitions(spark)
+    texts = rows.mapInArrow(_segments, "doc long, segment long, doc_id long, copies long, text string")
+    texts = texts.withColumns({"place": F.lit(None).cast("long"), "link": F.lit(None).cast("long")})
+    links = _linked(rows, work).select("doc", F.shiftright("place", 33).alias("segment"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copies"), F.lit(None).cast("string").alias("text"), "place", "link")
+    dealt = texts.unionByName(links).withColumn("group", F.pmod(F.xxhash64("doc", "segment"), F.lit(groups)).cast("int"))
+    dealt = dealt.repartitionById(n, F.pmod("group", F.lit(n))).sortWithinPartitions("group", "doc", "segment", F.asc_nulls_first("place"))
+    found = dealt.mapInArrow(_parse(block, chars), _PARSED_KIND)
+    total = {c: F.sum(c).alias(c) for c in ("n", "near", "far", "own", "reference", "cross_bits", "own_bits")}
+    found = found.groupBy("doc", "doc_id").agg(*total.values(), F.sum(F.when(F.col("segment") == 0, F.col("copies"))).alias("copies"))
+    score = F.when(F.col("n") > 0, (F.col("cross_bits") - F.col("own_bits")) / F.col("n")).otherwise(0.0)
+    found = found.select("doc_id", F.col("n").alias("n_chars"), (F.col("near") + F.col("far")).alias("cross_phrases"), F.col("far").alias("corpus_phrases"), F.col("own").alias("own_phrases"), F.col("reference").alias("reference_chars"), F.lit(chars).cast("long").alias("corpus_chars"), score.alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    found = work.save(found.drop("copy"), "scores")
     own = found.where("n_chars > 0").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).first()
     spread = own["s"] or None
     return found.withColumns({"corpus_mean": F.lit(own["m"]).cast("double"), "z_score": F.when(F.col("n_chars") > 0, (F.col("score") - F.lit(own["m"])) / F.lit(spread)).cast("double")})
+
+
+def against(docs: DataFrame, reference: str) -> DataFrame:
+    """doc_id, n_chars, cross_phrases, own_phrases, score of each row of docs(doc_id, text) against a given reference text.
+
+    The reference's suffix automaton is built once in every task, so its length is bounded by
+    REFERENCE. Null and empty texts score 0; against an empty reference every character is a phrase.
+    """
+    if len(reference) > REFERENCE:
+        raise ValueError(f"a reference text has at most {REFERENCE} characters; score a corpus against itself with scored()")
+    spark = docs.sparkSession
+    small_batches(spark)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("cross_phrases", pa.int64()), ("own_phrases", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        start = automaton(reference)
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                n, cross, own = len(text), cross_phrases(text, start), own_phrases(text)
+                rows.append((doc_id, n, cross, own, (cross * math.log2(max(len(reference), n) + 1) - own_bits(own)) / n if n else 0.0))
+            yield batch_of(schema, *(zip(*rows) if rows else [[] for _ in schema]))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()).mapInArrow(run, "doc_id long, n_chars long, cross_phrases long, own_phrases long, score double")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, crossparse, decontaminate, editwalk, language, neardup, packing, quality, sharding, urls
+from strandlake.llm import chat, decontaminate, editwalk, language, neardup, packing, quality, sharding, urls
 
 R = random.Random(8)
 VOCABULARY = ["".join(R.choice("abcdefghéüñ") for _ in range(R.randrange(2, 8))) for _ in range(300)]
@@ -424,61 +424,6 @@ def test_decontaminate(docs, empty, spark, block_bytes):
     assert decontaminate.judged(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
-# 9 cross-parsing
-
-
-def brute_phrases(text, reference):
-    n, i = 0, 0
-    while i < len(text):
-        j = i + 1
-        while j < len(text) and text[i : j + 1] in reference:
-            j += 1
-        n, i = n + 1, j
-    return n
-
-
-def test_cross_parsing_is_greedy():
-    r = random.Random(3)
-    for _ in range(150):
-        reference, text = ("".join(r.choice("abc") for _ in range(r.randrange(60))) for _ in range(2))
-        text += r.choice(["", "z", "zz", "☃a"])
-        assert crossparse.cross_phrases(text, crossparse.automaton(reference)) == brute_phrases(text, reference)
-        seen, n, now = set(), 0, ""
-        for c in text:
-            now += c
-            if now not in seen:
-                seen.add(now)
-                n, now = n + 1, ""
-        assert crossparse.own_phrases(text) == n + (now != "")
-
-
-def test_scores(docs, empty, spark):
-    rows = crossparse.scored(docs, group_chars=50_000, one_in=2).collect()
-    assert len(rows) == len(ROWS)
-    assert all(r["score"] == 0 and r["z_score"] is None for r in rows if not r["n_chars"])
-    again = crossparse.scored(docs.repartition(2), group_chars=50_000, one_in=2).collect()
-    assert sorted(map(str, again)) == sorted(map(str, rows))
-    assert crossparse.scored(empty).count() == 0
-    mixed = [(i, prose(100, i)) for i in range(200)] + [(1000 + i, "".join(random.Random(i).choice("XYZ#%$") for _ in range(400))) for i in range(4)]
-    got = crossparse.scored(spark.createDataFrame(mixed, "doc_id long, text string"), group_chars=60_000, one_in=4).collect()
-    assert min(r["score"] for r in got if r["doc_id"] >= 1000) > max(r["score"] for r in got if r["doc_id"] < 1000)
-
-
-def test_scores_see_copies_in_the_whole_corpus(spark):
-    rows = [(i, prose(300, 5000 + i)) for i in range(60)]
-    passage = rows[1][1][500:1500]
-    rows += [(100, rows[0][1]), (101, prose(100, 1) + passage + prose(100, 2)), (None, rows[2][1]), (3, rows[3][1])]
-    # no passage is drawn at such a rate: what is found comes from the whole corpus
-    got = crossparse.scored(spark.createDataFrame(rows, "doc_id long, text string"), group_chars=20_000, one_in=10**9).collect()
-    ratio = defaultdict(list)
-    for r in got:
-        assert r["reference_chars"] == 0
-        ratio[r["doc_id"]].append(r["cross_phrases"] / r["n_chars"])
-    assert all(max(ratio[i]) < 0.05 for i in (0, 100, 2, None))
-    assert ratio[1][0] < 0.7 and ratio[101][0] < 0.7
-    assert min(ratio[3] + ratio[4]) > 0.9 and len(ratio[3]) == 2  # a repeated id is no other document
-
-
 # 10 quality
 
 
