@@ -138,11 +138,12 @@ class Suffixes:
 
     def __init__(self, symbols: np.ndarray, bits: int):
         n, self.bits, width = len(symbols), bits, 63 // bits
-        words = np.zeros(n + width, np.int64)
-        for j in range(width):
-            words[:n] <<= bits
-            words[: max(n - j, 0)] |= symbols[j:]
-        words[n:] = 0
+        words, held = np.concatenate([symbols, np.zeros(width, np.int64)]), 1
+        while held < width:  # `held` symbols from each place on, then up to twice as many
+            step = min(held, width - held)
+            longer = words << (step * bits)
+            longer[:-step] |= words[step:] & ((1 << (step * bits)) - 1)
+            words, held = longer, held + step
         self.n, self.words = n, words
         self.order = order = np.argsort(words[:n])
         found = words[order]
@@ -150,7 +151,7 @@ class Suffixes:
         np.not_equal(found[1:], found[:-1], out=fresh[1:])
         self.common = np.zeros(n, np.int64)
         at = np.flatnonzero(fresh[1:]) + 1
-        self.common[at] = self._equal(order[at - 1], order[at], width)
+        self.common[at] = self._equal(found[at - 1], found[at])
         # for each place the first position of its group of equals so far; -1 after the end
         rank = np.full(n + 1, -1, np.int32)
         rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
@@ -178,11 +179,12 @@ class Suffixes:
             depth *= 2
         del self.ranks
 
-    def _equal(self, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Symbols that two different words share at their start."""
-        x = self.words[a] ^ self.words[b]
+        x = a ^ b
         x &= ~(x >> 1)  # so that no rounding reaches the next power of two
-        return (width * self.bits - np.frexp(x.astype(np.float64))[1]) // self.bits
+        highest = (x.astype(np.float64).view(np.int64) >> 52) - 1022  # number of bits, from the exponent
+        return (63 // self.bits * self.bits - np.maximum(highest, 0)) // self.bits
 
     def _shared(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
         """Length of the common prefix of suffixes that agree for `depth` symbols but not for twice as many."""
@@ -192,7 +194,7 @@ class Suffixes:
             step = np.where(self.ranks[t][a] == self.ranks[t][b], width << t, 0)
             length += step
             a, b = np.minimum(a + step, n), np.minimum(b + step, n)
-        return length + self._equal(a, b, width)
+        return length + self._equal(self.words[a], self.words[b])
 
 
 def longest_matches(symbols: np.ndarray, bits: int, owner: np.ndarray) -> np.ndarray:
@@ -306,10 +308,9 @@ def parsed(texts: list[str], owners: list[int], matches: list[tuple[np.ndarray,
     first = np.concatenate([[0], np.cumsum(lengths + 1)])
     points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     used = np.zeros(0x110000, bool)
-    inside = np.ones(len(points), bool)
-    inside[first[1:] - 1] = False  # a 0 between texts, below all characters
-    used[points[inside]] = True
-    symbols = np.where(inside, np.cumsum(used)[points], 0)
+    used[points] = True
+    symbols = np.cumsum(used)[points]
+    symbols[first[1:] - 1] = 0  # between texts, below all characters
     names = np.repeat(np.array(owners, np.int64), lengths + 1)
     depth = longest_matches(symbols, int(used.sum()).bit_length() or 1, names)
     place = np.arange(len(points))
