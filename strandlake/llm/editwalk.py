@@ -13,13 +13,15 @@ order of all steps and takes the first in it that the walk reached, so texts of
 equal length are sampled at the same steps, and texts of lengths p < q agree on a
 step with probability p / q. The sampled character is hashed to four bits, one hex
 digit. The likeness of two fingerprints is the share of equal digits, corrected for
-the one in sixteen that agree by chance.
-
-Near duplicates: walks of long texts with edits all over drift too far apart to find
-the texts by their digits. Candidates come from sketches of the sets of GRAM-character
-windows instead, of which an edit changes GRAM at most, wherever it is: texts at a
-distance of 5 % keep at least 0.7 of them. Classes of equal texts meet in bands of the
-sketch; candidates are verified by the edit distance of whole texts (see neardup.linked).
+the one in sixteen that agree by chance. A band is DIGITS sampled steps; texts that share
+one are candidates, and are verified by the edit distance of whole texts.
+
+Near duplicates in the whole corpus: one walk of a long text with edits all over drifts too
+far for the digits of its end to meet. So the walk is started anew at every place, for
+STEPS steps of which a shared sample is one key: an edit changes the few keys of walks that
+cross it, wherever it is, and texts at a distance of 5 % keep about 0.7 of them. Classes of
+equal texts meet in bands of a sketch of their keys; candidates are verified by the
+edit distance of whole texts (see neardup.linked).
 """
 
 from __future__ import annotations
@@ -36,8 +38,11 @@ from strandlake.llm.neardup import band_keys, linked, sketches
 from strandlake.llm.wordhash import mix
 
 SAMPLES = 256
-#: Steps after which the shared random bits repeat.
+#: Steps for which there are tables of random bits. In each further period every character takes the
+#: bits of another one, so that its own don't repeat. The last bits are 1: no stay crosses a border.
 PERIOD = 1 << 13
+#: Digits of a band of a fingerprint.
+DIGITS = 8
 #: Texts that walk together, in characters.
 WALK_CHARS = 3_000_000
 #: With fewer texts than this still walking, one after the other is faster.
@@ -47,11 +52,12 @@ FEW = 24
 def _tables():
     rng = np.random.default_rng(77)
     bits = rng.integers(0, 2, (256, PERIOD), dtype=np.uint8)
+    bits[:, -1] = 1
     stay = np.ones((256, PERIOD), np.uint8)  # steps until the walk has left the character
-    for _ in range(2):  # twice around, because the bits repeat
-        for j in range(PERIOD - 1, -1, -1):
-            after = stay[:, (j + 1) % PERIOD]
-            stay[:, j] = np.where(bits[:, j] == 1, 1, np.minimum(after, 254) + 1)
+    for j in range(PERIOD - 2, -1, -1):
+        stay[:, j] = np.where(bits[:, j] == 1, 1, np.minimum(stay[:, j + 1], 254) + 1)
+    turn = rng.integers(0, 256, 1 << 16)  # whose bits the characters take in each period
+    turn[0] = 0
     records = np.full((SAMPLES, 96), np.iinfo(np.int64).max)
     for s in range(SAMPLES):  # steps that are the first so far in the sample's order
         at, least = 0, rng.random()
@@ -63,11 +69,12 @@ def _tables():
             at, least = at + 1 + int(gap), least * rng.random()
             if least < 1e-300:
                 break
-    return stay, records
+    return bits, stay, turn * PERIOD, records
 
 
-_STAY, _RECORDS = _tables()
+_BITS, _STAY, _TURN, _RECORDS = _tables()
 _ROWS = [row.tobytes() for row in _STAY]
+_SHIFT, _TURNS = PERIOD.bit_length() - 1, len(_TURN) - 1
 _SALTS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 EMPTY = "0" * SAMPLES
 
@@ -90,10 +97,10 @@ def walks(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         n = min(len(points[i]), together)
         places.append(base[:n] + rank)
         flat[places[-1]] = kinds[i][:n].astype(np.int32) * PERIOD
-    stay, at, mask = _STAY.reshape(-1), np.zeros(len(order), np.int64), PERIOD - 1
+    stay, at, mask, turns = _STAY.reshape(-1), np.zeros(len(order), np.int64), PERIOD - 1, (_TURN >> _SHIFT).tolist()
     for j in range(together):
         now = at[: going[j]]
-        now += stay[flat[base[j] : base[j + 1]] + (now & mask)]
+        now += stay[(flat[base[j] : base[j + 1]] ^ _TURN[(now >> _SHIFT) & _TURNS]) + (now & mask)]
         left[base[j] : base[j + 1]] = now
     for rank, i in enumerate(order):
         n = len(places[rank])
@@ -101,7 +108,7 @@ def walks(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         if n < len(points[i]):
             step, rest = int(at[rank]), []
             for kind in kinds[i][n:].tobytes():
-                step += _ROWS[kind][step & mask]
+                step += _ROWS[kind ^ turns[(step >> _SHIFT) & _TURNS]][step & mask]
                 rest.append(step)
             out[i][n:] = rest
     return list(zip(points, out))
@@ -122,13 +129,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (float((a == b).mean()) - 1 / 16) * 16 / 15)
 
 
+def shared_bands(a: np.ndarray, b: np.ndarray) -> int:
+    """Bands in which two fingerprints agree."""
+    return int((a == b).reshape(-1, DIGITS).all(1).sum())
+
+
 def text_form(fingerprint: np.ndarray) -> str:
     return "".join("0123456789abcdef"[v] for v in fingerprint.tolist())
 
 
 def _compare(batches):
     """Rows in the order of their bucket: every text against the one after it. Rows with own = 1 only follow."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("bands_edited", pa.int32()), ("bands_next", pa.int32()), ("edits_next", pa.int64())])
 
     def done(rows):
         """The rows but the last, which waits for the one that follows."""
@@ -142,7 +154,7 @@ def _compare(batches):
         columns: list[list] = [[] for _ in schema]
         for (a, b), new, mark in zip(pairs, edited, made[len(rows) :]):
             f, g = own[id(a)], own[id(b)]
-            for column, value in zip(columns, (a[1], len(a[3]), hashlib.sha256(new.encode()).hexdigest(), text_form(f), text_form(mark), likeness(f, mark), likeness(f, g))):
+            for column, value in zip(columns, (a[1], len(a[3]), hashlib.sha256(new.encode()).hexdigest(), text_form(f), text_form(mark), likeness(f, mark), likeness(f, g), shared_bands(f, mark), (shared := shared_bands(f, g)), edit_distance(a[3], b[3]) if shared else None)):
                 column.append(value)
         return batch_of(schema, *columns)
 
@@ -157,53 +169,79 @@ def _compare(batches):
     yield done(rows)
 
 
+def _ranges(rows: DataFrame, n: int):
+    """The bucket of each row of rows(doc_id, tie, text) by ranges of (doc_id descending, tie), n at most and about equal.
+
+    An id that holds several quantiles is split by its tie, which is a hash.
+    """
+    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit((i + 1) / n) for i in range(n - 1)]), F.lit(10_000)).alias("q")).first()["q"] if n > 1 else None
+    weight: dict[int, int] = {}
+    for c in cuts or []:
+        weight[c] = weight.get(c, 0) + 1
+    bucket = F.lit(0)
+    if len(weight) > 64:
+        both = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(k).alias("k")) for c, k in weight.items()])
+        bucket = F.aggregate(both, F.lit(0), lambda total, x: total + F.when(F.col("doc_id") <= x["c"], x["k"]).otherwise(0))
+    else:
+        for c, k in weight.items():
+            bucket = bucket + F.when(F.col("doc_id") <= c, k).otherwise(0)
+    for c, k in weight.items():  # fewer ids than quantiles can hold two of them
+        if k > 1:
+            part = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * k), F.lit(k - 1)).cast("int")
+            bucket = bucket - F.when(F.col("doc_id") == c, k - 1 - part).otherwise(0)
+    return bucket.cast("int")
+
+
 def fingerprinted(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_chars (code points), edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next.
+    fingerprint, edited_fingerprint, near_edited, near_next, bands_edited, bands_next, edits_next.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many
     (or all) of the next document, by descending doc_id; after the last comes the first.
     near_edited and near_next are the likeness of the document's fingerprint to those of its
-    edited text and of the next document.
+    edited text and of the next document, bands_edited and bands_next the bands they share;
+    edits_next verifies a next document that shares a band: its edit distance, else null.
 
     A null text is empty; an empty text has the fingerprint of zeros. Rows of one id follow each
-    other by text; a null id comes last. A single row is its own next. An empty table gives
-    no rows; other columns are ignored.
-
-    Texts are shuffled once: by ranges of doc_id whose bounds come from a quantile sketch. The
-    first row of each range is also sent to the range before, for which only the greatest id of
-    each range comes to the driver.
+    other by a hash of the text; a null id comes last, rows without id as rows of one id. A single
+    row is its own next. Texts of any length are walked whole; verification of two alike texts
+    takes time as the product of the lengths that lie between their common start and
+    end. An empty table gives no rows; other columns are ignored.
+
+    Texts are shuffled once: by ranges of doc_id whose bounds come from a quantile sketch (and for
+    an id that many rows have, of the hash). The first row of each range is also sent to the range
+    before, for which only the first id and hash of each range come to the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
     least = -(2**63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), text_of())
-    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit((i + 1) / n) for i in range(n - 1)]), F.lit(10_000)).alias("q")).first()["q"] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    for c in cuts:  # few hundred at most: as many as shuffle partitions
-        bucket = bucket + F.when(F.col("doc_id") <= c, 1).otherwise(0)
-    if len(cuts) > 64:
-        bucket = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(F.col("doc_id") <= c, 1).otherwise(0))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    first = sorted((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
-    extra = {top: first[i - 1][0] if i else first[-1][0] for i, (_, top) in enumerate(first)}
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), text_of()).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", _ranges(rows, n))
+    first = sorted((r["bucket"], *r["top"]) for r in rows.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("tie").alias("tie"))).alias("top")).collect())
     targets = F.lit(None).cast("int")
-    if extra:
-        before = F.create_map(*[F.lit(x) for item in extra.items() for x in item])
-        targets = F.element_at(before, F.col("doc_id"))
+    if first:
+        before = [first[-1][0], *(b for b, _, _ in first)]
+        tops = F.create_map(*[x for (b, i, t), to in zip(first, before) for x in (F.lit(b), F.struct(F.lit(i).cast("long").alias("id"), F.lit(t).cast("long").alias("tie"), F.lit(to).alias("to")))])
+        own = F.element_at(tops, F.col("bucket"))
+        targets = F.when((F.col("doc_id") == own["id"]) & (F.bitwise_not("tie") == own["tie"]), own["to"])
     both = F.when(targets.isNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("own")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("own")), F.struct(targets.alias("to"), F.lit(1).alias("own"))))
-    sent = rows.select("doc_id", "text", F.explode(both).alias("x")).select(F.col("x.to").alias("bucket"), F.col("x.own").alias("own"), "doc_id", "text")
-    sent = sent.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "own", F.desc("doc_id"), "text")
-    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return sent.mapInArrow(_compare, kind).withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
+    sent = rows.select("doc_id", "tie", "text", F.explode(both).alias("x")).select(F.col("x.to").alias("bucket"), F.col("x.own").alias("own"), "doc_id", "tie", "text")
+    sent = sent.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "own", F.desc("doc_id"), "tie", "text")
+    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, bands_next int, edits_next long"
+    return sent.drop("tie").mapInArrow(_compare, kind).withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, by Myers' bit vectors in big integers."""
+    """Levenshtein distance, by Myers' bit vectors in big integers between the common start and end."""
     if len(a) > len(b):
         a, b = b, a
+    if b.startswith(a) or b.endswith(a):
+        return len(b) - len(a)
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    start = int((x != y[: len(x)]).argmax())  # they differ somewhere
+    end = min(int((x[::-1] != y[::-1][: len(x)]).argmax()), len(x) - start)
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     m = len(a)
     if not m:
         return len(b)
@@ -224,22 +262,28 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-GRAM, BANDS, WIDTH = 6, 64, 3
+#: Steps of a walk from a place, which stays two on a character on average, and those that are sampled.
+STEPS, SAMPLED = 12, (0, 2, 3, 5, 6, 8, 9, 11)
+BANDS, WIDTH = 64, 3
 
 
 def agreement(percent: int) -> float:
     """Least agreement of two sketches for texts of which percent % are equal: half their expected similarity."""
-    kept = (percent / 100) ** GRAM
+    kept = (percent / 100) ** (STEPS // 2)
     return kept / (2 - kept) / 2
 
 
-def windows(text: str) -> np.ndarray:
-    """The set of hashes of text's GRAM-character windows, or of its only one if it is shorter."""
+def local_walks(text: str) -> np.ndarray:
+    """The set of keys of the walks of STEPS steps from every place but the last few; of the only one if there are not so many."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    width = min(GRAM, len(points))
-    key = np.full(len(points) - width + 1, np.uint64(width))
-    for j in range(width):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + points[j : j + len(key)]
+    hashed = np.concatenate([mix(points + np.uint64(1)), np.zeros(STEPS + 1, np.uint64)])  # zeros after the end
+    kinds = (hashed & np.uint64(255)).astype(np.int64) * PERIOD
+    at = np.arange(max(1, len(points) - STEPS // 2 + 1))
+    key, bits = np.zeros(len(at), np.uint64), _BITS.reshape(-1)
+    for step in range(STEPS):
+        if step in SAMPLED:
+            key = key * np.uint64(0x9E3779B97F4A7C15) + hashed[at]
+        at = at + bits[kinds[at] + step]
     return np.unique(mix(key))
 
 
@@ -251,7 +295,7 @@ def _signatures(batches):
         sketch, bands = [None] * len(texts), [None] * len(texts)
         full = [i for i, t in enumerate(texts) if t]
         for at in range(0, len(full), 64):
-            made = sketches([windows(texts[i]) for i in full[at : at + 64]], BANDS * WIDTH)
+            made = sketches([local_walks(texts[i]) for i in full[at : at + 64]], BANDS * WIDTH)
             coarse, keys = (mix(made) & np.uint64(255)).astype(np.uint8), band_keys(made, BANDS).view(np.int64)
             for k, i in enumerate(full[at : at + 64]):
                 sketch[i], bands[i] = coarse[k].tobytes(), keys[k]

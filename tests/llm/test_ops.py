@@ -279,6 +279,11 @@ def test_fingerprints(spark, docs, empty):
         assert (r["fingerprint"], r["edited_fingerprint"], r["near_edited"]) == (editwalk.text_form(a), editwalk.text_form(b), editwalk.likeness(a, b))
     assert editwalk.fingerprinted(docs).count() == len(ROWS)
     assert editwalk.fingerprinted(empty).count() == 0
+    for i, t in rows:
+        following = next(x for j, x in zip(sorted((j for j, _ in rows), reverse=True), [x for _, x in order[1:] + order[:1]]) if j == i) or ""
+        f, g = editwalk.fingerprints([t or "", following])
+        assert got[i]["bands_next"] == sum(bool((f[k : k + 8] == g[k : k + 8]).all()) for k in range(0, 256, 8))
+        assert got[i]["edits_next"] == (editwalk.edit_distance(t or "", following) if got[i]["bands_next"] else None)
     one = editwalk.fingerprinted(df.where("doc_id = 42")).first()
     assert one["near_next"] == 1.0
 
@@ -289,12 +294,55 @@ def test_walks_follow_the_embedding():
     for (points, left), t in zip(walked, texts):
         assert len(points) == len(left) == len(t)
         step = 0
-        for c, end in zip(points[:200].tolist(), left[:200].tolist()):
+        for c, end in zip(points.tolist(), left.tolist()):
             kind = int(editwalk.mix(np.array([c], np.uint64))[0] & np.uint64(255))
-            step += int(editwalk._STAY[kind, step % editwalk.PERIOD])
+            while not bit(kind, step):
+                step += 1
+            step += 1
             assert step == end
 
 
+def bit(kind, step):
+    """The shared random bit of a kind of character at a step, from the tables of bits alone."""
+    period, j = divmod(step, editwalk.PERIOD)
+    return editwalk._BITS[kind ^ int(editwalk._TURN[period & 65535]) // editwalk.PERIOD, j]
+
+
+def test_fingerprints_by_brute_force():
+    """The digits from a walk step by step: each sample's first step, in its own order, that the walk reached."""
+    for text in ("a", "ab", prose(30, 5), prose(2500, 6)):
+        at, written = 0, []
+        while at < len(text):
+            kind = int(editwalk.mix(np.array([ord(text[at])], np.uint64))[0] & np.uint64(255))
+            written.append(ord(text[at]))
+            at += int(bit(kind, len(written) - 1))
+        got = editwalk.fingerprints([text])[0]
+        for s in range(editwalk.SAMPLES):
+            reached = [x for x in editwalk._RECORDS[s].tolist() if x < len(written)]
+            value = editwalk.mix(np.array([written[reached[-1]]], np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ editwalk._SALTS[s])[0] & np.uint64(15)
+            assert got[s] == value
+    assert len(written) > 2 * editwalk.PERIOD
+    rows = [editwalk._BITS[60 ^ int(t) // editwalk.PERIOD].tobytes() for t in editwalk._TURN[:5]]
+    assert len(set(rows)) > 3  # a character's bits don't repeat with the period
+
+
+def test_rows_of_one_id_are_split(spark):
+    """Two thirds of the rows have one id, or none: each still has the next one of a total order as its next."""
+    for hot in (5, None):
+        rows = [(hot, f"text {i} of one id") for i in range(80)] + [(hot, "twice")] * 2 + [(i, f"other {i}") for i in range(40) if i != 5]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        tied = df.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+        buckets = tied.groupBy(editwalk._ranges(tied, 8).alias("b")).count().collect()
+        assert max(r["count"] for r in buckets) < 60 and len(buckets) >= 6
+        order = sorted(((-r["doc_id"], r["tie"], r["text"]) for r in tied.collect()))
+        expected = []
+        for (d, _, t), (_, _, following) in zip(order, order[1:] + order[:1]):
+            half = len(t) // 2
+            expected.append((None if d == 2**63 else -d, hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()))
+        got = [(r["doc_id"], r["edited_sha256"]) for r in editwalk.fingerprinted(df).collect()]
+        assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_edit_distance():
     def slow(a, b):
         row = list(range(len(b) + 1))
@@ -308,6 +356,7 @@ def test_edit_distance():
     for _ in range(200):
         a, b = ("".join(r.choice("abc") for _ in range(r.randrange(14))) for _ in range(2))
         assert editwalk.edit_distance(a, b) == slow(a, b)
+        assert editwalk.edit_distance("xyz" + a + "uu", "xyz" + b + "uu") == slow(a, b)
 
 
 def test_near_by_edits(spark, empty):
