@@ -10,10 +10,11 @@ N-grams are 2 to 4 characters long, of lower-cased letters with one blank for
 everything else. A language keeps an n-gram if its rate there is at least SHARE of
 the n-gram's highest rate in any language.
 
-Fitting reads at most FIT_ROWS documents in expectation of each language (those with
-the least seeded hash; a documented bound: 3,000) and keeps at most GRAMS n-grams of each
-(60,000), of all languages that occur; the filter has a bit for each language and place.
-Every document is predicted from all of its text.
+Fitting reads FIT_ROWS different documents in expectation of each language (those with
+the least seeded hash; a documented bound: 3,000), whole, and keeps all their n-grams, of all
+languages that occur. The filter is put together by the executors, place by place, and is
+all that comes to the driver and goes to the workers: a bit for each language and place, with as
+many places as TABLE_BYTES allow and the n-grams need. Every document is predicted from all of its text.
 """
 
 from __future__ import annotations
@@ -23,20 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import batch_of, small_batches, text_of
+from strandlake.llm.common import Workspace, batch_of, small_batches, text_of
 from strandlake.llm.wordhash import byte_slices, mix, string_buffers
 
-FIT_ROWS, GRAMS, SHARE = 3000, 60_000, 0.4
-LENGTHS, HASHES, PLACES = (2, 3, 4), 3, 1 << 20
+FIT_ROWS, SHARE = 3000, 0.4
+LENGTHS, HASHES = (2, 3, 4), 3
+#: Most bytes of the filter, of which eight languages take one for each place.
+TABLE_BYTES = 64 << 20
 UNKNOWN = "und"
+#: The bits of each byte, lowest first.
+_BITS_OF = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
 
 
 def _letters() -> np.ndarray:
-    """For code points below 0x30000 the lower-cased letter, or 0 for what is no letter."""
-    out = np.zeros(0x30000, np.uint32)
-    for c in range(0x30000):
-        if 0xD800 <= c < 0xE000:
-            continue
+    """For every code point the lower-cased letter, or 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -51,7 +54,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(hashes of all n-grams, the text of each, letters of each text) for texts in one buffer."""
     starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = _LETTERS[np.minimum(points, len(_LETTERS) - 1)]
+    low = _LETTERS[points]
     text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(starts))
     is_letter = low > 0
     n_letters = np.bincount(text, is_letter, len(offsets) - 1).astype(np.int64)
@@ -63,7 +66,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hashes, owner = [], []
     total = low.astype(np.uint64)
     before = np.zeros(len(low), bool)  # the first letter of a word
-    before[1:] = low[:-1] == 0
+    before[1:] = (low[:-1] == 0) | (text[1:] != text[:-1])
     before[:1] = True
     head = before & (low > 0)
     hashes.append(mix(total[head] + np.uint64(1 << 40)))
@@ -77,33 +80,34 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(owner), n_letters
 
 
-def _places(hashes: np.ndarray):
-    for i in range(HASHES):
-        yield (hashes >> np.uint64(20 * i)) & np.uint64(PLACES - 1)
+def places_for(languages: int, most: int) -> int:
+    """A power of two: 16 places for each n-gram of the largest language, 2**20 to 2**24, but never over TABLE_BYTES in all."""
+    wanted = min(max(1 << 20, 1 << (16 * most - 1).bit_length()), 1 << 24)
+    slices = -(-max(1, languages) // 8)
+    return min(wanted, 1 << ((TABLE_BYTES // slices).bit_length() - 1))
 
 
 class Filter:
-    """The bit-sliced Bloom filter of the languages' n-grams."""
+    """The bit-sliced Bloom filter of the languages' n-grams: a byte of eight languages for each place and slice."""
 
-    def __init__(self, languages: list[str], members: list[np.ndarray]):
-        self.languages = languages
-        self.table = np.zeros((PLACES, -(-max(1, len(languages)) // 8)), np.uint8)
-        for i, own in enumerate(members):
-            for at in _places(own):
-                self.table[at, i // 8] |= np.uint8(1 << i % 8)
-        share = [np.unpackbits(column[:, None], axis=1, bitorder="little").mean(0) for column in self.table.T]  # a byte of languages at a time
-        self.chance = np.concatenate(share)[: len(languages)] ** HASHES
+    def __init__(self, languages: list[str], table: np.ndarray):
+        self.languages, self.table = languages, table
+        share = [np.bincount(column, minlength=256) @ _BITS_OF / len(column) for column in table]  # eight languages at a time
+        self.chance = np.concatenate([*share, np.zeros(0)])[: len(languages)] ** HASHES
+
+    def _places(self, hashes: np.ndarray):
+        for i in range(HASHES):
+            yield ((hashes >> np.uint64(20 * i)) & np.uint64(self.table.shape[1] - 1)).astype(np.int64)
 
     def hits(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams, n-grams contained by each language) for each of n texts."""
         found = np.zeros((n, len(self.languages)))
-        bits = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
-        for column in range(self.table.shape[1]):
-            slices = self.table[:, column]
-            mask = np.bitwise_and.reduce([slices[at] for at in _places(hashes)])
+        places = list(self._places(hashes))
+        for i, column in enumerate(self.table):
+            mask = np.bitwise_and.reduce([column[at] for at in places])
             by_mask = np.bincount(owner.astype(np.int64) * 256 + mask, minlength=n * 256).reshape(n, 256)
-            own = slice(8 * column, min(8 * column + 8, len(self.languages)))
-            found[:, own] = (by_mask @ bits)[:, : own.stop - own.start]
+            own = slice(8 * i, min(8 * i + 8, len(self.languages)))
+            found[:, own] = (by_mask @ _BITS_OF)[:, : own.stop - own.start]
         return np.bincount(owner, minlength=n).astype(np.float64), found
 
 
@@ -123,21 +127,31 @@ def _count(batches):
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filter:
-    """The filter learnt from labelled(doc_id, text, lang); rows with a null lang are left out."""
-    labelled = labelled.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_of())
-    counts = [(r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    """The filter learnt from labelled(doc_id, text, lang); rows with a null lang are left out.
+
+    Repeated rows of one id and text count once, so that no hot row or id fills the sample.
+    """
+    spark = labelled.sparkSession
+    labelled = labelled.where(F.col("lang").isNotNull()).select(F.xxhash64("doc_id", "text", F.lit(2)).alias("key"), F.col("lang").cast("string").alias("lang"), text_of())
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}  # a row for each language
     if not counts:
-        return Filter([], [])
-    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, fit_rows / n)) for lang, n in counts], "lang string, share double")
-    chosen = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    by_gram = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    of_language = Window.partitionBy("lang")
-    rated = by_gram.withColumn("rate", F.col("n") / F.sum("n").over(of_language)).withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
-    kept = rated.where(F.col("rate") >= SHARE * F.col("most")).withColumn("place", F.row_number().over(of_language.orderBy(F.desc("n"), "gram"))).where(F.col("place") <= GRAMS)
-    members: dict[str, list[int]] = {lang: [] for lang, _ in sorted(counts)}
-    for r in kept.select("lang", "gram").collect():  # at most GRAMS for each language
-        members[r["lang"]].append(r["gram"])
-    return Filter(list(members), [np.array(v, np.int64).view(np.uint64) for v in members.values()])
+        return Filter([], np.zeros((1, 8), np.uint8))
+    languages = sorted(counts)
+    known = spark.createDataFrame([(lang, i, min(1.0, fit_rows / max(counts[lang], 1))) for i, lang in enumerate(languages)], "lang string, code int, share double")
+    chosen = labelled.join(F.broadcast(known), "lang").where(F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    chosen = chosen.groupBy("lang", "key", "code").agg(F.first("text").alias("text"))
+    by_gram = chosen.select(F.col("code").cast("string").alias("lang"), "text").mapInArrow(_count, "lang string, gram long, n long").groupBy(F.col("lang").cast("int").alias("code"), "gram").agg(F.sum("n").alias("n"))
+    rated = by_gram.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("code"))).withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
+    kept = Workspace(spark).save(rated.where(F.col("rate") >= SHARE * F.col("most")).select("code", "gram"), "grams")
+    most = kept.groupBy("code").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    size = places_for(len(languages), most)
+    place = F.explode(F.array(*[F.shiftrightunsigned("gram", 20 * i).bitwiseAND(F.lit(size - 1)).cast("int") for i in range(HASHES)]))
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.col("code") % 8 + 1)
+    set_bits = kept.select(F.floor(F.col("code") / 8).cast("int").alias("slice"), bit.alias("bit"), place.alias("place")).groupBy("slice", "place").agg(F.bit_or("bit").cast("short").alias("mask"))
+    found = set_bits.toArrow()  # at most a row for each byte of the table
+    table = np.zeros((-(-len(languages) // 8), size), np.uint8)
+    table[found["slice"].to_numpy(), found["place"].to_numpy()] = found["mask"].to_numpy()
+    return Filter(languages, table)
 
 
 def _predict(shared, n_carried: int, schema: pa.Schema):
@@ -169,7 +183,8 @@ def predict(docs: DataFrame, model: Filter, columns: list[str] | None = None) ->
     Ties go to the language that is first by name. A null text, one without letters, and any text
     where no language was learnt give `und` with score and coverage 0. A text with letters but
     without a hit gives the first language with score 1 / languages and coverage 0. Repeated
-    rows are predicted each; an empty table gives no rows; columns may have any names.
+    rows are predicted each; a very long text like any other, from all its n-grams; an empty table
+    gives no rows; columns may have any names.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

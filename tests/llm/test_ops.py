@@ -197,7 +197,12 @@ def test_more_than_256_languages(spark):
 def test_bit_slices_equal_filters_of_each_language():
     r = np.random.default_rng(3)
     members = [r.integers(0, 2**63, 3000).astype(np.uint64) for _ in range(11)]
-    model = language.Filter([str(i) for i in range(11)], members)
+    table = np.zeros((2, 1 << 20), np.uint8)
+    model = language.Filter([str(i) for i in range(11)], table)
+    for i, own in enumerate(members):
+        for at in model._places(own):
+            table[i // 8, at] |= np.uint8(1 << i % 8)
+    model = language.Filter([str(i) for i in range(11)], table)
     asked = np.concatenate([members[3], members[9], r.integers(0, 2**63, 4000).astype(np.uint64)])
     owner = np.repeat([0, 1, 2], [3000, 3000, 4000])
     total, hits = model.hits(asked, owner, 3)
@@ -205,6 +210,73 @@ def test_bit_slices_equal_filters_of_each_language():
     assert np.abs(hits[2] / 4000 - model.chance).max() < 0.01
 
 
+def brute_grams(text):
+    """The n-grams of a text as strings: letters lower-cased, one blank after each word that something follows; word starts are marked."""
+    low, out = "", []
+    for c in text:
+        if c.isalpha():
+            low += c.lower() if len(c.lower()) == 1 else c
+        elif low and low[-1] != " ":
+            low += " "
+    for i, c in enumerate(low):
+        if c != " ":
+            if i == 0 or low[i - 1] == " ":
+                out.append("^" + c)
+            out += [low[i : i + n] for n in (2, 3, 4) if i + n <= len(low)]
+    return out
+
+
+def test_grams_by_brute_force():
+    texts = ["", "ab", "cd", "  Hello,  World! ", "ÀÉ ß\U00030000\U00030001x", "İx 12", "日本語 テキスト", prose(50, 3)]
+    data, offsets = language.string_buffers(language.pa.array(texts))
+    hashes, owner, letters = language.grams(data, offsets)
+    names = {}
+    for i, t in enumerate(texts):
+        assert letters[i] == sum(c.isalpha() for c in t)
+        own, expected = hashes[owner == i].tolist(), brute_grams(t)
+        alone = language.grams(*language.string_buffers(language.pa.array([t])))[0]
+        assert sorted(own) == sorted(alone.tolist()) and len(own) == len(expected)
+        count = lambda x: sorted(x.count(v) for v in set(x))
+        assert count(own) == count(expected)
+        names[i] = set(own), set(expected)
+    for i in names:  # one hash for each n-gram in all texts
+        for j in names:
+            assert len(names[i][0] & names[j][0]) == len(names[i][1] & names[j][1])
+
+
+def test_languages_by_brute_force(spark):
+    """Fit and prediction against sets of strings: the filter has no n-gram less, and chance adds few."""
+    r = random.Random(12)
+    alike = {"aa": "abcdefg", "bb": "abcdexy", "cc": "defgxyz"}
+    rows = [(i, " ".join("".join(r.choice(alike[lang]) for _ in range(r.randrange(2, 6))) for _ in range(r.randrange(1, 40))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    rows += [(500, rows[0][1], None), (501, "", "aa"), (502, None, "bb"), (503, "1 2 3", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {lang: defaultdict(int) for lang in alike}
+    for i, t, lang in set(rows):
+        for g in brute_grams(t or "") if lang else ():
+            counts[lang][g] += 1
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    members = {lang: {g for g, n in c.items() if n / total[lang] >= language.SHARE * max(counts[x][g] / total[x] if g in counts[x] else 0 for x in counts)} for lang, c in counts.items()}
+    model = language.fit(df.union(df))  # repeated rows count once
+    assert model.languages == sorted(alike)
+    for x in language.predict(df, model).collect():
+        own = brute_grams(x["text"] or "")
+        if not any(c.isalpha() for c in x["text"] or ""):
+            assert (x["lang_pred"], x["score"], x["coverage"]) == ("und", 0.0, 0.0)
+            continue
+        share = {lang: sum(g in members[lang] for g in own) / len(own) for lang in sorted(alike)}
+        best = max(share.values())
+        assert abs(share[x["lang_pred"]] - best) < 0.02 and abs(x["coverage"] - best) < 0.02
+        assert abs(x["score"] - best / sum(share.values())) < 0.02
+
+
+def test_filter_is_bounded():
+    for languages, most in [(1, 10), (8, 10**6), (300, 10**6), (7000, 10**7), (9, 0)]:
+        size = language.places_for(languages, most)
+        assert size & (size - 1) == 0 and -(-languages // 8) * size <= language.TABLE_BYTES
+    assert language.places_for(4, 50_000) == 1 << 20 and language.places_for(4, 10**6) == 1 << 24
+
+
 # 3 URLs
 
 
