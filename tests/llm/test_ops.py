@@ -324,13 +324,77 @@ def test_ratio_decides_unruled_urls():
     assert urls.Ratio([], []).threshold == 0 == urls.Ratio([], [])("http://x/")
 
 
+class BruteMarkov:
+    """Witten-Bell interpolation from dicts of counts."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts = order, {}
+        for text in texts:
+            line = "\x02" * order + text + "\x03"
+            for i in range(order, len(line)):
+                for k in range(order + 1):
+                    seen = self.counts.setdefault(line[i - k : i], defaultdict(int))
+                    seen[line[i]] += 1
+
+    def probability(self, context, char):
+        p = 1 / 1114112
+        for k in range(len(context) + 1):
+            seen = self.counts.get(context[len(context) - k :], {})
+            if sum(seen.values()) < (2 if k >= 2 else 1):
+                break
+            p = (seen.get(char, 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+        return p
+
+
+def test_scores_of_urls_by_brute_force():
+    r = random.Random(9)
+    make = lambda: "http://" + "".join(r.choice("abcé/.") for _ in range(r.randrange(30)))
+    accepted, rejected = ([make() for _ in range(80)] for _ in range(2))
+    ratio = urls.Ratio(accepted, rejected)
+    held = lambda u: zlib.crc32(u.encode()) % 4 == 0
+    slow = [BruteMarkov([u for u in side if not held(u)], urls.ORDER) for side in (accepted, rejected)]
+    asked = accepted[:20] + rejected[:20] + ["", "☃", "http://" + "a" * 5000]
+    for url, got in zip(asked, ratio.scores(asked)):
+        line, total = "\x02" * urls.ORDER + url + "\x03", 0.0
+        for i in range(urls.ORDER, len(line)):
+            p, q = (m.probability(line[i - urls.ORDER : i], line[i]) for m in slow)
+            total += np.log(p / q)
+        assert abs(got - total / (len(url) + 1)) < 1e-9
+        assert abs(ratio(url) - got) < 1e-12
+
+
 def test_markov_is_a_distribution():
     model = urls.Markov(["http://abc/", "http://abd/"], 3)
-    known = {c for seen, _ in model.counts.values() for c in seen}
+    known = "htp:/abcd\x03"
     rest = (1114112 - len(known)) * model.probability("p:/", "☃")
     assert abs(sum(model.probability("p:/", c) for c in known) + rest - 1) < 1e-9
 
 
+def test_long_urls_are_learnt_by_windows(spark):
+    long = "http://a.com/de/" + "".join(random.Random(1).choice("mnop") for _ in range(5000))
+    got = urls.learnt_of(spark.createDataFrame([(long,), ("http://b.com/de/x",)], "url string"), 10)
+    assert sorted(w for _, w, _ in got) == [1, -(-len(long) // urls.WINDOW)]
+    for window, weight, start in got:
+        assert window in long or window == "http://b.com/de/x"
+        assert len(window) <= urls.WINDOW + urls.ORDER and (weight > 1) == (len(window) - start == urls.WINDOW)
+    # what is context only is not learnt, and the rest counts with its weight
+    model = urls.Markov(["abcd"], 2, [5], [2])
+    names, total, kinds, grams, n = model.tables[0]
+    assert total.tolist() == [15] and sorted(n.tolist()) == [5, 5, 5]
+
+
+def test_models_are_bounded():
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(120)) for _ in range(200)]
+    before = urls.MODEL_BYTES
+    try:
+        urls.MODEL_BYTES = 300_000
+        ratio = urls.Ratio(texts[:100], texts[100:])
+        assert sum(m.nbytes() for m in ratio.models) <= 300_000 and np.isfinite(ratio.scores(texts)).all()
+    finally:
+        urls.MODEL_BYTES = before
+
+
 # 4 fingerprints
 
 
@@ -563,6 +627,64 @@ def test_quality(docs, empty, spark):
     assert {r[-1] for r in quality.score(docs, quality.fit(empty, labels)).collect()} == {0.5}
 
 
+def brute_features(passage):
+    """What `encode` says of one passage, from its bytes."""
+    kinds = defaultdict(int)
+    for b in passage:
+        c = chr(b)
+        kind = "lead" if b >= 0xC0 else "more" if b >= 0x80 else "upper" if c.isupper() else "lower" if c.islower() else "digit" if c.isdigit() else "blank" if c == " " else "control" if b < 32 or b == 127 else c
+        kinds[kind] += 1
+    return sorted(round(float(np.sqrt(n / len(passage))), 5) for n in kinds.values())
+
+
+def test_encoding_by_brute_force():
+    texts = ["", "Ab1 \n!?é", "word word other word", prose(700, 4), "x" * 2500, "a a b"]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    x, numbers = quality.encode(data, np.cumsum([0, *map(len, raw)]))
+    assert numbers.tolist() == [max(1, -(-len(t) // quality.PASSAGE)) for t in raw] and not x[0].any()
+    at = 0
+    for t, n in zip(raw, numbers.tolist()):
+        for i in range(n):
+            passage = t[len(t) * i // n : len(t) * (i + 1) // n]
+            if passage:
+                got = x[at + i]
+                assert sorted(round(float(v), 5) for v in got[: quality.N_KINDS] if v) == brute_features(passage)
+            at_words = passage.split()
+            if n == 1 and at_words:
+                assert abs(got[-4] - sum(a == b for a, b in zip(at_words, at_words[1:])) / len(at_words)) < 1e-6
+                assert abs(got[-3] - len(set(at_words)) / len(at_words)) < 1e-6
+                assert abs(got[-2] - np.log1p(sum(map(len, at_words)) / len(at_words))) < 1e-5
+                assert abs(got[-1] - np.log1p(100 * len(at_words) / len(passage))) < 1e-5
+        at += n
+
+
+def test_attention_by_brute_force():
+    r = np.random.default_rng(5)
+    model, numbers = quality.Attention(4, seed=2), np.array([1, 4, 2])
+    x = r.standard_normal((7, 4))
+    got, at = model.forward(x, numbers)[0], 0
+    for n, score in zip(numbers, got):
+        p, weights, values = model.p, [], []
+        for row in x[at : at + n]:
+            h = np.array([np.tanh(sum(row[i] * p["W"][i, j] for i in range(4)) + p["b"][j]) for j in range(quality.HIDDEN)])
+            gate = [np.tanh(h @ p["V"][:, g]) / (1 + np.exp(-(h @ p["U"][:, g]))) for g in range(quality.GATE)]
+            weights.append(np.exp(sum(w * g for w, g in zip(p["w"], gate))))
+            values.append(h @ p["c"])
+        assert abs(score - 1 / (1 + np.exp(-(np.dot(weights, values) / sum(weights) + p["d"][0])))) < 1e-9
+        at += n
+
+
+def test_fit_of_long_and_repeated_rows(spark):
+    assert quality.spread(5).tolist() == list(range(5))
+    far = quality.spread(1000)
+    assert len(far) == quality.FIT_PASSAGES and (np.diff(far) > 10).all() and far[0] < 16 and far[-1] > 980
+    rows = [(1, prose(20, i)) for i in range(300)] + [(2, "%% BUY " * 30000)] * 3
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, fit_rows=200)
+    assert model.base is None  # the long texts are learnt too
+
+
 def test_gradient():
     r = np.random.default_rng(2)
     model, numbers, y = quality.Attention(5), np.array([1, 3, 2]), np.array([0.0, 1.0, 1.0])
