@@ -8,9 +8,10 @@ a = softmax(w . (tanh(V h) * sigmoid(U h))) weighs the passages, and the documen
 score is sigmoid(c . sum(a h) + d). All parameters are learnt together from document
 labels only, by Adam on the cross-entropy.
 
-Fitting takes at most FIT_ROWS labelled documents (a documented bound: 4,000, those with
-the least seeded hash) and leaves those of over FIT_PASSAGES passages (64) out. Every document
-is scored from all of its text.
+Fitting takes the rows of at most FIT_ROWS labelled ids (a documented bound: 4,000, those with
+the least seeded hash; of more rows than twice that, a sample), and of a document of over FIT_PASSAGES passages (64)
+so many, spread evenly over it: attention weighs shares, so an even sample stands for the
+whole. Every document is scored from all of its text.
 """
 
 from __future__ import annotations
@@ -161,6 +162,11 @@ class Attention:
         return {k: v + decay * p[k] * (k not in "bd") for k, v in grad.items()}
 
 
+def spread(n: int) -> np.ndarray:
+    """All of n passages, or FIT_PASSAGES of them at even distances."""
+    return np.arange(n) if n <= FIT_PASSAGES else (np.arange(FIT_PASSAGES) * 2 + 1) * n // (2 * FIT_PASSAGES)
+
+
 def _encoded(batches):
     schema = pa.schema([("label", pa.float64()), ("passages", pa.int64()), ("features", pa.binary())])
     for batch in batches:
@@ -168,21 +174,26 @@ def _encoded(batches):
         for a, b in byte_slices(offsets):
             x, numbers = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             ends = np.cumsum(numbers)
-            few = np.flatnonzero(numbers <= FIT_PASSAGES)
-            yield batch_of(schema, batch.column("label").slice(a, b - a).take(pa.array(few)), numbers[few], [x[ends[i] - numbers[i] : ends[i]].tobytes() for i in few])
+            taken = [spread(int(n)) for n in numbers]
+            yield batch_of(schema, batch.column("label").slice(a, b - a), [len(t) for t in taken], [x[end - n + t].tobytes() for end, n, t in zip(ends, numbers, taken)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Attention:
     """The model learnt from labels(doc_id, quality) and the texts of docs(doc_id, text).
 
     Labels whose quality is null are left out; several labels of one id count as their majority
-    (a tie as 1). Rows of docs that repeat an id are all learnt with its label.
+    (a tie as 1). Rows of docs that repeat an id are all learnt with its label, unless the ids
+    chosen have over 2 * fit_rows rows: then fit_rows of them in expectation are, by a hash of the row's place.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.when(F.avg(F.col("quality").cast("double")) >= 0.5, 1.0).otherwise(0.0).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of())
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_encoded, "label double, passages long, features binary").collect()
+    n = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(chosen), "doc_id", "left_semi").count()
+    texts = texts.join(F.broadcast(chosen), "doc_id")
+    if n > 2 * fit_rows:
+        texts = texts.where(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1_000_000)) < F.lit(int(1_000_000 * fit_rows / n)))
+    rows = texts.select("label", "text").mapInArrow(_encoded, "label double, passages long, features binary").collect()
     rows = sorted((r["label"], r["passages"], bytes(r["features"])) for r in rows)
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, WIDTH).astype(np.float64)
     return Attention().fit(x, np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows]))
@@ -204,7 +215,8 @@ def _score(shared, n_carried: int, schema: pa.Schema):
 def score(docs: DataFrame, model: Attention, columns: list[str] | None = None) -> DataFrame:
     """docs with the columns named (all by default) and score, from 0 to 1, after them.
 
-    A null or empty text is one passage of zeros and has the score the model gives that. Repeated
+    A null or empty text is one passage of zeros and has the score the model gives that; a very
+    long text is one bag of all its passages. Equal texts have equal scores (ties are not broken). Repeated
     rows are scored each; an empty table gives no rows; columns may have any names.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
