@@ -612,6 +612,26 @@ def test_decontaminate(docs, empty, spark, block_bytes):
 # 10 quality
 
 
+def test_windows_of_items_are_flat_and_parts_lose_none(spark):
+    text = prose(60_000, 77)
+    windows = decontaminate.Windows([("a", text), ("b", text), ("c", "only three words"), ("d", "")], 13)
+    assert windows.nbytes() < 12 * 2 * len(text) + (10 << 20)  # and the bitmap
+    data, offsets = decontaminate.string_buffers(decontaminate.pa.array(["x " + text[:2000] + " only THREE words."]))
+    found = list(windows.occurrences(decontaminate.Words(data, offsets, decontaminate.ALPHANUMERIC)))
+    assert {n for _, k, names in found for n in names if k == 13} == {"a", "b"} and [names for _, k, names in found if k == 3] == [{"c"}]
+    bench = spark.createDataFrame([("1", text), ("1", text), ("2", "é" * 9000), ("3", "some words " * 3), ("4", "")], "item string, text string")
+    parts = bench.mapInArrow(decontaminate._parts(13, 5000), "item string, text string").collect()
+    own = [words8(r["text"]) for r in parts if r["item"] == "1"]
+    assert all(len(r["text"].encode()) <= 5000 for r in parts if r["item"] == "1")
+    grams = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+    assert set().union(*map(grams, own)) == grams(words8(text)) and min(map(len, own)) >= 13
+    assert [r["text"] for r in parts if r["item"] != "1"] == ["é" * 9000, "some words " * 3, ""]
+    docs = spark.createDataFrame([(1, text[100_000:101_000]), (2, "nothing of it")], "doc_id long, text string")
+    bench = bench.select(F.col("item").alias("item_id"), "text")
+    got = {tuple(r) for r in decontaminate.judged(docs, bench, block_bytes=20_000).drop("items_sha256", "items").collect()}
+    assert got == {tuple(r) for r in decontaminate.judged(docs, bench).drop("items_sha256", "items").collect()} and any(r[2] for r in got)
+
+
 def test_quality(docs, empty, spark):
     good = [(i, prose(80, i)) for i in range(120)]
     bad = [(200 + i, edited(prose(400, i), 1, i) + " " + " ".join(["%%% BUY!!"] * 80)) for i in range(60)]
