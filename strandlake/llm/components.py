@@ -15,7 +15,9 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     that label, so labels travel twice as far in every round. Both the links and
     the labels stay distributed; each round's labels are a written table, so a lost
     executor costs no more than the running round. Only the number of changed
-    labels comes to the driver. An empty link table gives an empty result.
+    labels comes to the driver. Links and labels are stored tables, so where many links meet
+    in one node, or many nodes hook to one root, adaptive execution splits that side of the join, and
+    the least label is taken before the shuffle. An empty link table gives an empty result.
     """
     links = links.where("a <> b")
     edges = work.save(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Workspace, batch_of, partitions, small_batches, text_of
-from strandlake.llm.neardup import band_keys, linked, sketches
+from strandlake.llm.neardup import band_keys, classes_of, keyed, linked, sketches
 from strandlake.llm.wordhash import mix
 
 SAMPLES = 256
@@ -288,7 +288,7 @@ def local_walks(text: str) -> np.ndarray:
 
 
 def _signatures(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_chars", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
     for batch in batches:
         texts = batch.column("text").to_pylist()
         node = [hashlib.blake2b(t.encode(), digest_size=16).digest() if t else None for t in texts]
@@ -299,7 +299,7 @@ def _signatures(batches):
             coarse, keys = (mix(made) & np.uint64(255)).astype(np.uint8), band_keys(made, BANDS).view(np.int64)
             for k, i in enumerate(full[at : at + 64]):
                 sketch[i], bands[i] = coarse[k].tobytes(), keys[k]
-        yield batch_of(schema, batch.column("doc_id"), [len(t) for t in texts], node, sketch, bands)
+        yield batch_of(schema, batch.column("doc_id"), batch.column("text_key"), [len(t) for t in texts], node, sketch, bands)
 
 
 def _verify(percent: int):
@@ -328,15 +328,16 @@ def near_by_edits(docs: DataFrame, percent: int = 95, work: Workspace | None = N
     """doc_id, component_id for each row of docs(doc_id, text): documents linked where the edit
     distance is at most (100 - percent) % of the longer text; component_id is the least id reached.
 
-    Empty and null texts are linked with nothing. Candidates are texts whose sketches share a
+    Empty and null texts are linked with nothing. Rows of one id are judged each by its own text; a null
+    id counts as a document of its own text, and where it is all a component has component_id is null. An
+    empty table gives no rows; other columns are ignored. Candidates are texts whose sketches share a
     band and agree enough, so the recall is high at 95 % and above (see the README) but, unlike
     the verification, not exact; the bands are laid out for that and lose more below.
     """
     small_batches(docs.sparkSession)
     work = work or Workspace(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of())
-    signed = work.save(rows.mapInArrow(_signatures, "doc_id long, n_chars long, node binary, sketch binary, bands array<long>"), "signatures")
-    classes = work.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    signed = work.save(keyed(docs).mapInArrow(_signatures, "doc_id long, text_key long, n_chars long, node binary, sketch binary, bands array<long>"), "signatures")
+    classes = work.save(classes_of(signed), "classes")
     roots = linked(docs, classes, _verify(percent), agreement(percent), work)
     named = classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -83,12 +83,12 @@ def digest(s: np.ndarray) -> bytes:
 
 
 def _signatures(shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids, own = batch.column("doc_id"), batch.column("text_key")
             for a, b in byte_slices(offsets):
                 sets = shingle_sets(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], BLANK_SEPARATED), shingle)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -98,9 +98,9 @@ def _signatures(shingle: int):
                 node, sketch, bands = [None] * (b - a), [None] * (b - a), [None] * (b - a)
                 for k, i in enumerate(full):
                     node[i], sketch[i], bands[i] = digest(sets[i]), coarse[k].tobytes(), keys[k]
-                yield batch_of(schema, ids.slice(a, b - a), [len(s) for s in sets], node, sketch, bands)
+                yield batch_of(schema, ids.slice(a, b - a), own.slice(a, b - a), [len(s) for s in sets], node, sketch, bands)
 
-    return run, "doc_id long, n_shingles long, node binary, sketch binary, bands array<long>"
+    return run, "doc_id long, text_key long, n_shingles long, node binary, sketch binary, bands array<long>"
 
 
 _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -201,7 +201,8 @@ def _confirm(shingle: int, percent: int):
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, confirm, work: Workspace) -> DataFrame:
     """The pairs(a, b) of classes that `confirm` keeps when it sees their whole texts.
 
-    The texts come by one join on the document id. A pivot's pairs are cut into
+    The texts come by one join on the id and hash of the class's representative, so that other
+    texts of its id stay away. A pivot's pairs are cut into
     salts of some hundred members, so a hot pivot is spread over tasks; each salt
     has its own copy of the pivot's text, and members stream past it.
     """
@@ -209,22 +210,37 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, confirm, w
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     salted = pairs.drop("salt").join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 200)).cast("int").alias("salt"))
     wanted = salted.select("a", "salt", F.col("a").alias("node"), F.lit(0).alias("role")).distinct().union(salted.select("a", "salt", F.col("b").alias("node"), F.lit(1).alias("role")))
-    wanted = wanted.join(classes.select("node", "doc_id"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of())
-    rows = wanted.join(texts, "doc_id").select("a", "salt", "role", "node", "text")
+    wanted = wanted.join(classes.select("node", "doc_id", "text_key"), "node")
+    known = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
+    rows = wanted.select("*", known).drop("doc_id").join(keyed(docs).select(known, "text_key", "text"), ["id", "text_key"]).select("a", "salt", "role", "node", "text")
     rows = rows.repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
     return rows.mapInArrow(confirm, "a binary, b binary").distinct()
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text), text of docs."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
+def classes_of(signed: DataFrame) -> DataFrame:
+    """One row for each node of signed: its least id with the hash of that row's text, the sketch and the bands."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    rows = signed.where("node is not null").groupBy("node").agg(first, F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    return rows.select("node", "first.doc_id", "first.text_key", "sketch", "bands")
+
+
 def linked(docs: DataFrame, classes: DataFrame, confirm, agree: float, work: Workspace) -> DataFrame:
-    """(node, root) of all classes(node, doc_id, sketch, bands) that have a confirmed link.
+    """(node, root) of all classes(node, doc_id, text_key, sketch, bands) that have a confirmed link.
 
-    doc_id is the class's representative among docs(doc_id, text); sketches are bytes that
+    doc_id and text_key are the class's representative among docs(doc_id, text); sketches are bytes that
     are compared place by place, bands are keys. Steps 3 to 5 of the plan above.
+
+    The sizes of buckets, and which of them are mixed, are written tables, so both sides of a join by
+    bucket are shuffles of stored rows, of which adaptive execution splits a hot bucket's.
     """
-    slim = classes.select("node", "doc_id").where("doc_id is not null")
-    members = classes.where("doc_id is not null").select("node", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    slim = classes.select("node", "doc_id", "text_key")
+    members = classes.select("node", F.explode("bands").alias("key"))
+    sizes = work.save(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     buckets = work.save(members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("key", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "buckets")
     sketch_of = classes.select("node", "sketch")
     n = partitions(docs.sparkSession)
@@ -236,6 +252,7 @@ def linked(docs: DataFrame, classes: DataFrame, confirm, agree: float, work: Wor
 
     labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    mixed = work.save(mixed, "mixed")
     labelled = labelled.join(mixed, "key").join(sketch_of, "node")
     spread = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
@@ -258,7 +275,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, work:
     Null or empty texts and texts of blanks have the empty set: n_shingles 0, linked
     with nothing, kept. Rows that repeat an id are judged each by its own text. A
     null id counts as a document of its own text; where it is all a component has,
-    component_id is null and the row is kept. Other columns are ignored. An empty
+    component_id is null and the row is kept. Texts are compared whole, however long. Ties (the least id
+    in several rows) leave all rows of that id kept. Sets are compared by 64-bit hashes of their windows: two different
+    windows of one pair of documents are taken for equal with a chance of about 2**-64. Other columns are ignored. An empty
     table gives an empty result.
     """
     if percent < 80:
@@ -267,12 +286,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, work:
     small_batches(spark)
     work = work or Workspace(spark)
     run, kind = _signatures(shingle)
-    signed = work.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of()).mapInArrow(run, kind), "signatures")
-
-    classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = work.save(classes, "classes")
+    signed = work.save(keyed(docs).mapInArrow(run, kind), "signatures")
+    classes = work.save(classes_of(signed), "classes")
     roots = linked(docs, classes, _confirm(shingle, percent), AGREE, work)
-    slim = classes.select("node", "doc_id").where("doc_id is not null")
+    slim = classes.select("node", "doc_id")
     named = slim.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "root").select("node", "component_id")

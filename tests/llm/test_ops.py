@@ -91,6 +91,14 @@ def test_blocks_of_large_buckets_lose_no_link(spark, monkeypatch):
     assert got == sorted(brute_components(rows, 4))
 
 
+def test_rows_without_id_and_of_one_id_are_linked_by_their_texts(spark):
+    a, b = prose(80, 60), prose(80, 61)
+    rows = [(None, a), (None, edited(a, 2, 1)), (7, edited(a, 3, 2)), (None, b), (5, edited(b, 1, 3)), (5, a), (5, "else " + prose(40, 62))]
+    got = [(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()]
+    # the texts near a have 5, 7 and none as ids, those near b 5 and none
+    assert sorted(got, key=str) == sorted([(None, 5), (None, 5), (7, 5), (None, 5), (5, 5), (5, 5), (5, 5)], key=str)
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(1)
     for n, common in ((3, 2), (40, 30), (1000, 800), (5000, 1000)):
@@ -565,6 +573,13 @@ def test_sharding(docs, empty, spark):
     assert max(r["d"] for r in share) <= 2
 
 
+def test_rows_of_one_id_go_to_many_buckets(spark):
+    rows = [(None, f"text {i}", "s") for i in range(3000)]
+    placed = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), bucket_rows=100).collect()
+    assert sorted(r["position"] for r in placed) == list(range(3000))
+    assert [r["text_crc32"] for r in sorted(placed, key=lambda r: r["position"])] != sorted(r["text_crc32"] for r in placed)
+
+
 # 8 decontamination
 
 

@@ -8,7 +8,7 @@ from strandlake.llm.common import Workspace, table
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op5_chat_format", "op6_sharding", "op8_decontaminate"])
+@pytest.mark.parametrize("name", ["op5_chat_format", "op6_sharding", "op7_minhash", "op8_decontaminate"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations"):
