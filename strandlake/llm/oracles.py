@@ -37,21 +37,21 @@ from x group by conv_id
 """
 
 OP6 = """
-with d as (
-  select doc_id, source, coalesce(strlen(text), 0) + 1 as size, coalesce(text, '') as t,
-    md5('strandlake-6:' || coalesce(cast(doc_id as varchar), '')) as key
-  from documents
+with t as (
+  select doc_id, source, coalesce(strlen(text), 0) + 1 as size, CRC32_OF(coalesce(text, '')) as text_crc32 from documents
+), d as (
+  select *, md5('strandlake-6:' || coalesce(cast(doc_id as varchar), '') || ':' || size || ':' || text_crc32) as key from t
 ), k as (
-  select *, (2 * (row_number() over (partition by source order by key, doc_id, size) - 1) + 1)::double
+  select *, (2 * (row_number() over (partition by source order by key, doc_id, size, text_crc32) - 1) + 1)::double
       / (2 * count(*) over (partition by source))::double as fraction
   from d
 ), p as (
-  select *, row_number() over (order by fraction, key, source nulls first, doc_id, size) - 1 as position, count(*) over () as n from k
+  select *, row_number() over (order by fraction, key, source nulls first, doc_id, size, text_crc32) - 1 as position, count(*) over () as n from k
 )
 select doc_id, cast(size as bigint) as size, cast(position * 16 // n as integer) as shard,
   cast(position - ((position * 16 // n) * n + 15) // 16 as bigint) as slot, 'rows' as law,
   cast(null as integer) as grown_shard,
-  CRC32_OF(t) as text_crc32
+  text_crc32
 from p
 """
 
@@ -95,4 +95,4 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
 from docs left join hit_words using (r) left join hit_items using (r)
 """
 
-ORACLES = {"op5_chat_format": OP5, "op6_sharding": OP6.replace("CRC32_OF(t)", _crc32("t")), "op7_minhash": OP7, "op8_decontaminate": OP8}
+ORACLES = {"op5_chat_format": OP5, "op6_sharding": OP6.replace("CRC32_OF(coalesce(text, ''))", _crc32("coalesce(text, '')")), "op7_minhash": OP7, "op8_decontaminate": OP8}

@@ -32,14 +32,16 @@ def interleave(docs: DataFrame, shards: int = 16, seed: str = SEED, bucket_rows:
 
     size: UTF-8 bytes of the text plus 1 (null: 1); text_crc32: its unsigned crc32 (null:
     of the empty text). Shards differ by one row at most; slot counts from 0 in each.
-    A null source is a source of its own, and a null id hashes like the empty string. Rows
-    with one id are ordered by source, size, crc32; full repeats are interchangeable.
-    With fewer rows than shards some shards stay empty. Other columns are ignored.
+    A null source is a source of its own, and a null id hashes like the empty string. Ties of the
+    seeded hash of id, size and crc32 are ordered by id, size and crc32; full repeats are interchangeable.
+    A very long text counts with its whole size. An empty table gives no rows; with fewer rows than shards some shards stay empty. Other columns are ignored.
     """
     work = work or Workspace(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = work.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key")), "rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    # size and crc32 keep rows of one id, or without id, apart
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32").cast("binary"))
+    rows = work.save(rows.withColumn("key", key), "rows")
     n = rows.count()
     buckets = max(1, min(65536, -(-n // bucket_rows)))
     first = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * buckets / F.lit(65536)).cast("int")
