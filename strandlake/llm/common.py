@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -47,32 +48,56 @@ class Workspace:
             base = "file://" + tempfile.mkdtemp(prefix="strandlake-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.path = f"{base.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
-        self.tables = 0
+        self.tables, self.last = 0, ""
         atexit.register(self.clear)
+        for scope in Workspace._scopes:
+            scope.append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it again: its lineage ends here."""
+    _scopes: list[list["Workspace"]] = []
+
+    @classmethod
+    @contextlib.contextmanager
+    def scope(cls):
+        """Clears at its end the workspaces that were opened in it: what was made of their tables must be saved elsewhere."""
+        cls._scopes.append(own := [])
+        try:
+            yield
+        finally:
+            cls._scopes.remove(own)
+            for work in own:
+                work.clear()
+
+    def save(self, df: DataFrame, name: str, instead: str = "") -> DataFrame:
+        """Write df as Parquet and read it again: its lineage ends here. instead: a table's path that is deleted then."""
         self.tables += 1
-        path = f"{self.path}/{self.tables:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.last = f"{self.path}/{self.tables:03d}-{name}"
+        df.write.mode("overwrite").parquet(self.last)
+        if instead:
+            self._delete(instead)
+        return self.spark.read.schema(df.schema).parquet(self.last)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def clear(self) -> None:
         try:
-            jvm, jsc = self.spark._jvm, self.spark._jsc
-            path = jvm.org.apache.hadoop.fs.Path(self.path)
-            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path)
         except Exception:  # the session has ended: its owner cleans the folder
             pass
+        atexit.unregister(self.clear)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a smaller setting of the session stays."""
+    """Keep Arrow batches of whole texts small, in this session; smaller settings stay."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, f"{ARROW_BYTES}b"))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

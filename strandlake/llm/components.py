@@ -23,11 +23,12 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     edges = work.save(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = work.save(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
     while True:
+        before = work.last
         near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("hook"))
         further = labels.select(F.col("node").alias("hook"), F.col("root").alias("next"))
         jumped = hooked.join(further, "hook").select("node", F.least("hook", "next").alias("root"), (F.least("hook", "next") != F.col("old")).alias("changed"))
-        jumped = work.save(jumped, "labels")
+        jumped = work.save(jumped, "labels", instead=before)
         labels = jumped.select("node", "root")
         if not jumped.where("changed").limit(1).count():
             return labels

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm import pipeline as stages
 from strandlake.llm import chat, crossparse, decontaminate, editwalk, language, neardup, packing, quality, sharding, urls
 from strandlake.llm.common import crc_of_id, table
 from strandlake.llm.oracles import ORACLES
@@ -63,9 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_language_id, op3_url_filter, op4_fingerprints, op5_chat_format, op6_sharding, op7_minhash, op8_decontaminate, op9_lm_score, op10_quality, pipeline)}

@@ -62,6 +62,51 @@ def test_near_dedup_decides_by_row(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (5, b), (None, c), (7, d), (9, ""), (9, None), (10, " ")]))
 
 
+CLASHING = "doc_id long, text string, lang string, score double, score_ double, lang_pred string, lang_pred_ string, gone_ long, row long, row_ long, m0 string, c1 string, id long, g string, n_chars long"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, lang, 0.0, 0.0, "l", "p", 1, 2, 3, "m", "c", 4, "g", len(t or "")) for i, t, lang in rows], CLASHING)
+
+
+def test_stages_carry_columns_of_any_name_and_take_all_cases(spark):
+    """Null, empty and long texts, repeated rows and ids, no id, columns named like the operators' own, no rows at all."""
+    text, other, third = ("".join(f"{w}{i} of the book, " for i in range(40)) for w in ("word", "leaf", "noun"))
+    rows = [(1, text, "en"), (1, other, "en"), (2, text, "en"), (2, third, None), (None, text, "en"), (None, text, "en"), (3, None, "en"), (4, "", None), (5, (other[:300] + " x ") * 400, "en")]
+    docs, none = clashing(spark, rows), clashing(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        got, empty = stage(spark, docs, SF), stage(spark, none, SF)
+        assert empty.count() == 0
+        if name == "packing":
+            assert got.groupBy("doc_id").count().count() == 6
+            continue
+        assert got.columns == docs.columns and empty.columns == docs.columns
+        left = [(r["doc_id"], r["text"]) for r in got.collect()]
+        assert all(r["gone_"] == 1 and r["g"] == "g" and r["c1"] == "c" and r["m0"] == "m" for r in got.collect())
+        if name == "language":
+            assert sorted(left, key=str) == sorted([r[:2] for r in rows if r[1]], key=str)
+        elif name == "near_dedup":
+            assert sorted(left, key=str) == sorted([(1, text), (1, other), (2, third), (3, None), (4, ""), rows[8][:2]], key=str)
+        elif name == "decontaminate":
+            assert sorted(left, key=str) == sorted([r[:2] for r in rows], key=str)
+        else:
+            assert set(left) <= {r[:2] for r in rows}
+
+
+def test_workspaces_are_cleared(spark):
+    import os
+
+    with Workspace.scope():
+        work = Workspace(spark)
+        first = work.save(spark.range(3), "a")
+        path = work.path.removeprefix("file://")
+        old = work.last.removeprefix("file://")
+        assert first.count() == 3 and os.path.exists(old)
+        work.save(spark.range(4), "b", instead=work.last)
+        assert not os.path.exists(old) and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_dedup", "decontaminate", "packing"]
     assert entry.queries()["pipeline"](spark, SF).count() > 0
