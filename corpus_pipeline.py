@@ -2,78 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and
 returns a DataFrame that is written as Parquet and read again as the next one's docs.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents. The stages are in the
+subpackage, so that an installed package has them.
 """
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strandlake.llm import decontaminate as bench
-from strandlake.llm import language, neardup, packing, quality
-from strandlake.llm.common import Workspace, table
-
-#: Least share of a text's n-grams that its language must contain.
-COVERAGE = 0.3
-
-#: A stage can't be expressed in SQL: two of them learn models.
-ORACLE_SQL = None
-
-
-def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier scores below its threshold."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    scored = quality.score(docs, model).toDF(*columns, "score_")
-    return scored.where(F.col("score_") >= quality.THRESHOLD).select(*columns)
-
-
-def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those of which no learned language contains enough; none where none was learnt."""
-    columns, model = docs.columns, language.fit(docs)
-    if not model.languages:
-        return docs
-    named = language.predict(docs, model).toDF(*columns, "lang_pred_", "score_", "coverage_")
-    return named.where((F.col("lang_pred_") != language.UNKNOWN) & (F.col("coverage_") >= COVERAGE)).select(*columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five words, 0.8) one row: that with the least id.
-
-    Rows are judged each by its own text, so different texts under one id all stay. Rows
-    without an id come after those with one; of rows with the same least id, one stays. Texts
-    without words are near nothing and all stay, but for repeats of one id and text.
-    """
-    columns, work = docs.columns, Workspace(spark)
-    # written, so that a row's number is the same whenever it is read
-    rows = work.save(docs.withColumn("row_", F.monotonically_increasing_id()), "rows")
-    found = neardup.near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text"), shingle=5, work=work)
-    found = found.select(F.col("doc_id").alias("row_"), "component_id", (F.col("n_shingles") == 0).alias("blank_"))
-    named = rows.select("row_", F.col("doc_id").cast("long").alias("id_"), F.xxhash64("text").alias("text_")).join(found, "row_")
-    # a blank row is its own group, or with an id that of the id and text
-    own = F.col("blank_") & F.col("id_").isNotNull()
-    group = [F.when(~own, F.col("component_id")).alias("g_"), F.when(own, F.col("id_")).alias("i_"), F.when(own, F.col("text_")).alias("t_")]
-    kept = named.groupBy(*group).agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "text_", "row_"))["row_"].alias("row_"))
-    return rows.join(kept.select("row_"), "row_", "left_semi").select(*columns)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents and cuts benchmark passages out of the others."""
-    return bench.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into training sequences."""
-    return packing.pack(docs)
-
+from strandlake.llm.pipeline import ORACLE_SQL, decontaminate, language_filter, near_dedup, pack, quality_filter, run
 
 STAGES = [("quality", quality_filter), ("language", language_filter), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", pack)]
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark)
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
