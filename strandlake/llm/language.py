@@ -32,6 +32,8 @@ LENGTHS, HASHES = (2, 3, 4), 3
 #: Most bytes of the filter, of which eight languages take one for each place.
 TABLE_BYTES = 64 << 20
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are held together, at some hundred bytes each.
+SLICE = 1 << 20
 #: The bits of each byte, lowest first.
 _BITS_OF = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
 
@@ -102,9 +104,10 @@ class Filter:
     def hits(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams, n-grams contained by each language) for each of n texts."""
         found = np.zeros((n, len(self.languages)))
-        places = list(self._places(hashes))
         for i, column in enumerate(self.table):
-            mask = np.bitwise_and.reduce([column[at] for at in places])
+            mask = np.full(len(hashes), 255, np.uint8)
+            for at in self._places(hashes):
+                mask &= column[at]
             by_mask = np.bincount(owner.astype(np.int64) * 256 + mask, minlength=n * 256).reshape(n, 256)
             own = slice(8 * i, min(8 * i + 8, len(self.languages)))
             found[:, own] = (by_mask @ _BITS_OF)[:, : own.stop - own.start]
@@ -119,7 +122,7 @@ def _count(batches):
         names = batch.column("lang").to_pylist()
         codes = {name: i for i, name in enumerate(dict.fromkeys(names))}
         language = np.array([codes[x] for x in names], np.int32)
-        for a, b in byte_slices(offsets, 8 << 20):
+        for a, b in byte_slices(offsets, SLICE):
             hashes, owner, _ = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             for name, code in codes.items():
                 own, n = np.unique(hashes[language[a:b][owner] == code], return_counts=True)
@@ -159,7 +162,7 @@ def _predict(shared, n_carried: int, schema: pa.Schema):
         model = shared.value
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
-            for a, b in byte_slices(offsets, 2 << 20):
+            for a, b in byte_slices(offsets, SLICE):
                 hashes, owner, letters = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 names, scores, covers = [UNKNOWN] * (b - a), np.zeros(b - a), np.zeros(b - a)
                 if model.languages:
