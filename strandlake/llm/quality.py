@@ -26,6 +26,8 @@ from strandlake.llm.wordhash import BLANK_SEPARATED, Words, byte_slices, string_
 
 PASSAGE, FIT_ROWS, FIT_PASSAGES = 1000, 4000, 64
 HIDDEN, GATE = 24, 12
+#: Bytes of text that are encoded together, at some hundred bytes of memory each.
+SLICE = 1 << 20
 THRESHOLD = 0.3
 _PAIRS = 64
 
@@ -171,7 +173,7 @@ def _encoded(batches):
     schema = pa.schema([("label", pa.float64()), ("passages", pa.int64()), ("features", pa.binary())])
     for batch in batches:
         data, offsets = string_buffers(batch.column("text"))
-        for a, b in byte_slices(offsets):
+        for a, b in byte_slices(offsets, SLICE):
             x, numbers = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             ends = np.cumsum(numbers)
             taken = [spread(int(n)) for n in numbers]
@@ -204,7 +206,7 @@ def _score(shared, n_carried: int, schema: pa.Schema):
         model = shared.value
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
-            for a, b in byte_slices(offsets, 2 << 20):
+            for a, b in byte_slices(offsets, SLICE):
                 score = model.score(*encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
                 columns = [batch.column(f"c{i}").slice(a, b - a) for i in range(n_carried)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip([*columns, score], schema)], schema=schema)
