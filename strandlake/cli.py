@@ -45,7 +45,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         parser().error("m must be less than k")
     if not args.tp and len(args.inputs) < 2:
         parser().error("name the input and the output")
-    from pyspark.sql import SparkSession
+    from pyspark import StorageLevel
+    from pyspark.sql import Observation, SparkSession
+    from pyspark.sql import functions as F
 
     from strandlake.operators import count, minimizers
     from strandlake.sources import sinks
@@ -59,26 +61,27 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         spark = build.getOrCreate()
     files, out = (args.inputs, None) if args.tp else (args.inputs[:-1], args.inputs[-1])
     df = count.sequences(spark, files)
+    n = args.n and 1 << (args.n - 1).bit_length() or minimizers.default_partitions(df)
+    say = lambda **values: [print(f"{key}: {value:.2f}" if isinstance(value, float) else f"{key}: {value}", file=sys.stderr) for key, value in values.items()]
     began = time.time()
+    say(**minimizers.run_stats(df, args.k, args.m).first().asDict(), phase1=time.time() - began, n_parts=n)
     if args.tp:
-        row = minimizers.run_stats(df, args.k, args.m).first()
-        for key in ("seqs", "kmers", "superkmers"):
-            print(f"{key}: {row[key]}", file=sys.stderr)
-        print(f"phase1: {time.time() - began:.2f}", file=sys.stderr)
         return 0
     if args.kff and not out.endswith(".kff"):
         out += ".kff"
-    counts = count.count_kmers(spark, df, args.k, args.m, args.ci, args.cx)
+    began, seen = time.time(), Observation()
+    every = count.count_kmers(spark, files, args.k, args.m)
+    if args.dbg:
+        every = every.persist(StorageLevel.DISK_ONLY)  # written and described, counted once
+    counts = count.in_range(every, args.ci, args.cx).observe(seen, F.count(F.lit(1)).alias("n"))
     sinks.write_counts(counts, out, args.k)
-    print(f"phase2: {time.time() - began:.2f}", file=sys.stderr)
+    say(phase2=time.time() - began, unique_kmers=seen.get["n"])
     if args.dbg:
         covered = minimizers.coverage(df, args.k, args.m)
-        n = args.n and 1 << (args.n - 1).bit_length() or minimizers.default_partitions(df)
-        sinks.write_debug(minimizers.partition_table(df, args.k, args.m, n).orderBy("partition_id"), out + ".debug_table_stats")
+        sinks.write_debug(minimizers.partition_table(df, args.k, args.m, n, counted=every).orderBy("partition_id"), out + ".debug_table_stats")
         sinks.write_debug(minimizers.coverage_histogram(covered), out + ".debug_min_coverage")
-        row = minimizers.coverage_summary(covered).first()
-        for key in row.asDict():
-            print(f"dbg_{key}: {row[key]}", file=sys.stderr)
+        say(**{f"dbg_{key}": value for key, value in minimizers.coverage_summary(covered).first().asDict().items()})
+        every.unpersist()
     return 0
 
 

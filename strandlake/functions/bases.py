@@ -20,11 +20,12 @@ _SIGN = np.uint64(1 << 63)
 
 
 def buffers(array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an Arrow string array; nulls are empty."""
-    array = array.fill_null("") if array.null_count else array
+    """(bytes, offsets) of an Arrow string or binary array; nulls are empty."""
+    binary = pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type)
+    array = array.fill_null(b"" if binary else "") if array.null_count else array
     if not len(array):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    kind = np.int64 if pa.types.is_large_string(array.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else np.int32
     _, offsets, data = array.buffers()
     offsets = np.frombuffer(offsets, kind)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
@@ -90,13 +91,6 @@ def canonical_words(codes: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarra
     return [np.where(less, x, y) for x, y in zip(one, two)]
 
 
-def as_keys(words: list[np.ndarray]) -> np.ndarray:
-    """Keys that sort and compare as the k-mers do: unsigned words, or fixed-length bytes."""
-    if len(words) == 1:
-        return words[0]
-    return np.ascontiguousarray(np.stack(words, 1).astype(">u8")).view(f"V{8 * len(words)}").ravel()
-
-
 def letters(words: np.ndarray, k: int) -> np.ndarray:
     """ASCII letters, a row for each k-mer, from rows of words as canonical_words lays them out."""
     out = np.empty((len(words), k), np.uint8)
@@ -107,6 +101,39 @@ def letters(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def pack_all(codes: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets of the parts): the n codes from each place on, four to a byte, the first in the highest bits, zero padded."""
+    widths = -(-n // 4)
+    offsets = np.concatenate([[0], np.cumsum(widths)])
+    first = np.cumsum(n) - n
+    nth = np.arange(int(n.sum()))
+    full = np.zeros(4 * int(offsets[-1]), np.uint8)
+    full[np.repeat(4 * offsets[:-1] - first, n) + nth] = codes[np.repeat(at - first, n) + nth]
+    full = full.reshape(-1, 4)
+    return full[:, 0] << 6 | full[:, 1] << 4 | full[:, 2] << 2 | full[:, 3], offsets
+
+
+def unpack_all(data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, offsets) of parts of n codes that pack_all made."""
+    full = np.stack([data >> 6, data >> 4 & 3, data >> 2 & 3, data & 3], 1).ravel()
+    widths = -(-n // 4)
+    first = np.cumsum(n) - n
+    nth = np.arange(int(n.sum()))
+    return full[np.repeat(4 * (np.cumsum(widths) - widths) - first, n) + nth], np.concatenate([[0], np.cumsum(n)])
+
+
+def first_of(values: np.ndarray, least: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """For each place of `at` how far on the first of `width` values stands that is the least given."""
+    out = np.full(len(at), width, np.int32)
+    for j in range(width - 1, -1, -1):
+        out[values[np.minimum(at + j, len(values) - 1)] == least] = j
+    return out
+
+
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def string_array(rows: np.ndarray) -> pa.Array:
     n, k = rows.shape
     offsets = np.arange(0, (n + 1) * k, k, dtype=np.int64)[: n + 1]

@@ -6,6 +6,8 @@ expect upper-case bases; `bases` and `acgt_runs` accept either case.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,12 +79,13 @@ def code_base(code) -> Column:
 
 
 def encode(kmer) -> Column:
-    """A k-mer of at most 31 bases as a long, two bits a base, the last base lowest."""
-    return F.conv(F.translate(col(kmer), "ACGT", "0123"), 4, 10).cast("long")
+    """A k-mer of at most 32 bases as a long, two bits a base, the last base lowest; the bits of 32 bases fill the sign too."""
+    value = F.conv(F.translate(col(kmer), "ACGT", "0123"), 4, 10).cast("decimal(20,0)")
+    return F.when(value > F.lit(2**63 - 1), value - F.lit(Decimal(2**64))).otherwise(value).cast("long")
 
 
 def decode(value, k: int) -> Column:
-    return F.translate(F.lpad(F.conv(col(value).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    return F.translate(F.lpad(F.conv(F.hex(col(value)), 16, 4), k, "0"), "0123", "ACGT")
 
 
 def pack_hex(kmer, k: int) -> Column:

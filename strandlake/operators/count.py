@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions import seqops
+from strandlake.functions import bases, seqops
 from strandlake.plans import vector
 
 PLANS = ("vector", "sql", "minimizer")
@@ -17,24 +19,32 @@ def sequences(spark: SparkSession, source, seq: str = "seq") -> DataFrame:
         return source
     from strandlake.sources import fastx
 
-    return fastx.read(spark, source)
+    return fastx.read(spark, source, columns=("seq",))
 
 
-def count_kmers(spark: SparkSession, source, k: int = 31, m: int = 21, min_count: int = 1, max_count: int | None = None, plan: str = "vector", seq: str = "seq", partitions: int | None = None) -> DataFrame:
+def _few_tasks(spark: SparkSession, source) -> bool:
+    from strandlake.sources import fastx
+
+    return len(fastx.ranges(fastx.expand(source))) < spark.sparkContext.defaultParallelism
+
+
+def count_kmers(spark: SparkSession, source, k: int = 31, m: int | None = None, min_count: int = 1, max_count: int | None = None, plan: str = "vector", seq: str = "seq", partitions: int | None = None) -> DataFrame:
     """kmer, count: the canonical k-mers of all sequences with min_count <= count <= max_count.
 
     Upper-case k-mers, unique, in no order. Counts are over all files or rows together. An empty
-    path list is a ValueError, and so are k outside 2..256, m outside 1..32, m >= k. min_count 0 is like
-    1; min_count over max_count gives no rows. The result is the same for every plan and every m:
+    path list is a ValueError, and so are k outside 2..256, m outside 1..32, m >= k; m is 21, or
+    k - 1 if that is less, where none is given. min_count 0 is like 1; min_count over max_count gives no rows. The result is the same for every plan and every m:
     `vector` counts on integer keys, `sql` uses built-in expressions only, `minimizer` exchanges
     packed super-k-mers by partition and counts each partition on its own.
     """
     seqops.check_k(k)
     if plan not in PLANS:
         raise ValueError(f"plan must be one of {PLANS}")
-    m = min(m, k - 1)
+    m = min(21, k - 1) if m is None else m
     seqops.check_km(k, m)
     df = sequences(spark, source)
+    if not isinstance(source, DataFrame) and _few_tasks(spark, source):
+        df = spread(df, k)
     if plan == "sql":
         rows = seqops.kmers(seqops.runs(df, seq), k)
         counts = rows.groupBy(seqops.canonical("kmer").alias("kmer")).agg(F.count(F.lit(1)).alias("count"))
@@ -42,10 +52,34 @@ def count_kmers(spark: SparkSession, source, k: int = 31, m: int = 21, min_count
     if plan == "minimizer":
         from strandlake.operators import minimizers
 
-        return in_range(minimizers.count_by_partition(df, k, m, seq, partitions), min_count, max_count)
+        return minimizers.count_by_partition(df, k, m, seq, partitions, min_count, max_count)
     return vector.decoded(in_range(vector.count_keys(df, seq, k), min_count, max_count), k)
 
 
+#: Bases of a part of a long sequence.
+PART = 1 << 20
+
+
+def spread(df: DataFrame, k: int, seq: str = "seq", part: int = PART) -> DataFrame:
+    """seq: the sequences dealt to all cores, long ones in parts that overlap by k - 1 bases, so that each k-mer is in one part.
+
+    For files that one task reads (gzip), or of few long records: what follows is not bound to that task.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            data, offsets = bases.buffers(batch.column(0))
+            lengths = np.diff(offsets)
+            n = np.maximum(1, -(-(lengths - k + 1) // part))
+            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(offsets[:-1], n) + nth * part
+            end = np.minimum(start + part + k - 1, np.repeat(offsets[1:], n))
+            for a in range(0, len(start), 64):
+                yield pa.RecordBatch.from_arrays([pa.array([data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(start[a : a + 64].tolist(), end[a : a + 64].tolist())], pa.string())], names=["seq"])
+
+    return df.select(F.col(seq).alias("seq")).mapInArrow(cut, "seq string").repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def in_range(counts: DataFrame, min_count: int = 1, max_count: int | None = None) -> DataFrame:
     kept = counts.where(F.col("count") >= min_count)
     return kept if max_count is None else kept.where(F.col("count") <= max_count)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import bases, seqops
+from strandlake.plans import vector
 from strandlake.plans.vector import slices
 
 
@@ -26,8 +27,16 @@ def longest(k: int, m: int) -> int:
     return 255 if 2 * k - m <= 255 else 65535
 
 
+#: Bytes of sequence for each minimizer partition, whose distinct k-mers one task holds.
+PARTITION_BYTES = 64 << 20
+
+
 def default_partitions(df: DataFrame) -> int:
+    """A power of two: the session's shuffle partitions, or more if the input's estimated size asks for it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 50:  # else it is not known
+        n = max(n, -(-size // PARTITION_BYTES))
     return 1 << max(0, (n - 1).bit_length())
 
 
@@ -56,6 +65,32 @@ def minimizers(df: DataFrame, k: int, m: int, *keep: str, seq: str = "seq") -> D
     return _by_window(df, k, values, "minimizer", keep, seq)
 
 
+def vertices(df: DataFrame, k: int, m: int, *keep: str, seq: str = "seq") -> DataFrame:
+    """keep..., pos, kmer, canonical, is_forward, minimizer, min_pos: every window of k bases with all that is known of it.
+
+    min_pos is the place in the window, from 0, of the first m-mer that has the minimizer's hash.
+    """
+    seqops.check_km(k, m)
+    names = [*keep, "pos", "kmer", "minimizer", "min_pos"]
+    out = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["pos long", "kmer string", "minimizer long", "min_pos int"])
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = bases.buffers(batch.column(len(keep)))
+            for codes, ends, base in slices(data, offsets, k, 1 << 16):
+                at = bases.valid_windows(codes, ends, k)
+                if len(at):
+                    hashes = bases.nthash(codes, m)
+                    least = bases.sliding_min(hashes, k - m + 1)[at]
+                    row = np.searchsorted(offsets, at + base, "right") - 1
+                    columns = [batch.column(i).take(pa.array(row)) for i in range(len(keep))]
+                    columns += [pa.array(at + base - offsets[row]), bases.string_array(bases.LETTER[codes[at[:, None] + np.arange(k)]]), pa.array(least.view(np.int64)), pa.array(bases.first_of(hashes, least, at, k - m + 1))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    found = df.select(*keep, seq).mapInArrow(run, out)
+    return found.select(*keep, "pos", "kmer", seqops.canonical("kmer").alias("canonical"), seqops.in_canonical_form("kmer").alias("is_forward"), "minimizer", "min_pos")
+
+
 def _by_window(df, k, values, name, keep, seq):
     out = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["pos long", f"{name} long"])
 
@@ -96,69 +131,97 @@ def _islands(data, offsets, k, m):
     return (np.concatenate(x) if x else e for x, e in ((starts, empty), (counts, empty), (hashes, empty.astype(np.uint64))))
 
 
+def _cut(data, offsets, k, m):
+    """(first base, bases, minimizer) of the super-k-mers of a batch."""
+    room = longest(k, m) - k + 1
+    start, count, h = _islands(data, offsets, k, m)
+    pieces = -(-count // room)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(start, pieces) + nth * room, np.minimum(np.repeat(count, pieces) - nth * room, room) + k - 1, np.repeat(h, pieces)
+
+
 def superkmers(df: DataFrame, k: int, m: int, *keep: str, seq: str = "seq", packed: bool = False) -> DataFrame:
-    """keep..., pos, n_bases, minimizer (with packed also sk): the super-k-mers of each row's runs.
+    """keep..., pos, n_bases, minimizer, min_pos (with packed also sk): the super-k-mers of each row's runs.
 
     A stretch of consecutive k-mers with one minimizer is one super-k-mer, or several that
-    overlap by k - 1 bases where it is longer than the length field holds.
+    overlap by k - 1 bases where it is longer than the length field holds. min_pos is where in it
+    the first m-mer with the minimizer's hash starts.
     """
     seqops.check_km(k, m)
-    room = longest(k, m) - k + 1
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["pos long", "n_bases int", "minimizer long"] + ["sk binary"] * packed
-    names = [*keep, "pos", "n_bases", "minimizer"] + ["sk"] * packed
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["pos long", "n_bases int", "minimizer long", "min_pos int"] + ["sk binary"] * packed
+    names = [*keep, "pos", "n_bases", "minimizer", "min_pos"] + ["sk"] * packed
 
     def run(batches):
         for batch in batches:
             data, offsets = bases.buffers(batch.column(len(keep)))
-            start, count, h = _islands(data, offsets, k, m)
-            if not len(start):
+            at, n, h = _cut(data, offsets, k, m)
+            if not len(at):
                 continue
-            pieces = -(-count // room)
-            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            at = np.repeat(start, pieces) + nth * room
-            n = np.minimum(np.repeat(count, pieces) - nth * room, room) + k - 1
+            codes = bases.CODE[data]
             row = np.searchsorted(offsets, at, "right") - 1
             columns = [batch.column(i).take(pa.array(row)) for i in range(len(keep))]
-            columns += [pa.array(at - offsets[row]), pa.array(n.astype(np.int32)), pa.array(np.repeat(h, pieces).view(np.int64))]
+            columns += [pa.array(at - offsets[row]), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(bases.first_of(bases.nthash(codes, m), h, at, k - m + 1))]
             if packed:
-                codes = bases.CODE[data]
-                columns.append(pa.array([pack(codes[a : a + b]) for a, b in zip(at.tolist(), n.tolist())], pa.binary()))
+                columns.append(bases.binary_array(*bases.pack_all(codes, at, n)))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.select(*keep, seq).mapInArrow(run, ", ".join(fields))
 
 
-def pack(codes: np.ndarray) -> bytes:
-    """Four bases a byte, the first in the highest bits, zero padded."""
-    full = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
-    full[: len(codes)] = codes
-    return (full.reshape(-1, 4) @ np.array([64, 16, 4, 1], np.uint8)).astype(np.uint8).tobytes()
-
+def first_kmer(sk, k: int) -> Column:
+    """The first k-mer of a packed super-k-mer, as text."""
+    pairs = F.array(*[F.lit(a + b) for a in "ACGT" for b in "ACGT"])
+    digits = F.split(F.substring(F.hex(seqops.col(sk)), 1, -(-k // 2)), "")
+    return F.left(F.array_join(F.transform(F.filter(digits, lambda d: d != ""), lambda d: F.element_at(pairs, F.instr(F.lit("0123456789ABCDEF"), d))), ""), F.lit(k))
 
-def unpack(data: bytes, n: int) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
-    return np.stack([b >> 6, b >> 4 & 3, b >> 2 & 3, b & 3], 1).ravel()[:n]
 
+def count_by_partition(df: DataFrame, k: int, m: int, seq: str = "seq", partitions: int | None = None, min_count: int = 1, max_count: int | None = None) -> DataFrame:
+    """kmer, count by one exchange, of packed super-k-mers by minimizer partition.
 
-def count_by_partition(df: DataFrame, k: int, m: int, seq: str = "seq", partitions: int | None = None) -> DataFrame:
-    """kmer, count by exchanging packed super-k-mers once, by minimizer partition.
-
-    A k-mer has one minimizer, so partitions share no k-mers and each is counted on its own:
-    by its task, a bounded number of k-mers at a time, merged by the partial aggregation.
+    A k-mer has one minimizer, so partitions share no k-mers and each is counted by its task, which
+    holds the partition's distinct k-mers (see default_partitions). The super-k-mers that a batch has for
+    a partition travel as one row: lengths, and two bits a base.
     """
-    from strandlake.plans import vector
-
-    n = partitions or default_partitions(df)
-    rows = superkmers(df, k, m, seq=seq, packed=True).select(partition_of("minimizer", n).alias("pid"), "n_bases", "sk")
-    rows = rows.repartitionById(n, F.col("pid"))
-    letters = np.frombuffer(b"ACGT", np.uint8)
+    seqops.check_km(k, m)
+    parts = partitions or default_partitions(df)
+    partition_of(F.lit(0), parts)  # a power of two
+    tasks = min(parts, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), df.sparkSession.sparkContext.defaultParallelism))
 
-    def spelled(batches):
+    def bundled(batches):
         for batch in batches:
-            texts = [letters[unpack(sk, b)].tobytes().decode() for sk, b in zip(batch.column("sk").to_pylist(), batch.column("n_bases").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["seq"])
-
-    return vector.decoded(vector.count_keys(rows.mapInArrow(spelled, "seq string"), "seq", k), k)
+            data, offsets = bases.buffers(batch.column(0))
+            at, n, h = _cut(data, offsets, k, m)
+            if not len(at):
+                continue
+            pid = (h & np.uint64(parts - 1)).astype(np.int32)
+            order = np.argsort(pid, kind="stable")
+            at, n, pid = at[order], n[order], pid[order]
+            packed, ends = bases.pack_all(bases.CODE[data], at, n)
+            first = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
+            lengths = n.astype("<u2")
+            last = np.append(first, len(pid))
+            yield pa.RecordBatch.from_arrays([pa.array(pid[first]), bases.binary_array(lengths.view(np.uint8), 2 * last), bases.binary_array(packed, ends[last])], names=["pid", "lengths", "sk"])
+
+    def counted(batches):
+        tally, held, sizes, size = vector.Tally(k), [], [], 0
+        for batch in batches:
+            for lengths, sk in zip(batch.column("lengths"), batch.column("sk")):
+                sizes.append(np.frombuffer(lengths.as_buffer(), "<u2").astype(np.int64))
+                held.append(np.frombuffer(sk.as_buffer(), np.uint8))
+                size += 4 * len(held[-1])
+                if size >= vector.SLICE:
+                    tally.add(*bases.unpack_all(np.concatenate(held), np.concatenate(sizes)))
+                    held, sizes, size = [], [], 0
+        if held:
+            tally.add(*bases.unpack_all(np.concatenate(held), np.concatenate(sizes)))
+        words, n = tally.counts()
+        kept = np.flatnonzero((n >= min_count) & (n <= (2**62 if max_count is None else max_count)))
+        for i in range(0, len(kept), 1 << 18):
+            some = kept[i : i + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([bases.string_array(bases.letters(np.stack([w[some] for w in words], 1), k)), pa.array(n[some])], names=["kmer", "count"])
+
+    rows = df.select(seq).mapInArrow(bundled, "pid int, lengths binary, sk binary")
+    return rows.repartitionById(tasks, F.pmod("pid", F.lit(tasks))).mapInArrow(counted, "kmer string, count long")
 
 
 def run_stats(df: DataFrame, k: int, m: int, seq: str = "seq") -> DataFrame:
@@ -189,17 +252,16 @@ def hot_bins(covered: DataFrame, n: int = 20) -> DataFrame:
     return covered.groupBy(F.shiftrightunsigned("minimizer", 56).cast("int").alias("bin")).agg(F.sum("coverage").alias("kmers")).orderBy(F.desc("kmers"), "bin").limit(n)
 
 
-def partition_table(df: DataFrame, k: int, m: int, n: int, seq: str = "seq") -> DataFrame:
-    """partition_id, n_inserted, n_unique: k-mer occurrences and distinct k-mers of each minimizer partition."""
-    counted = count_kmers_by_minimizer(df, k, m, seq)
+def partition_table(df: DataFrame, k: int, m: int, n: int, seq: str = "seq", counted: DataFrame | None = None) -> DataFrame:
+    """partition_id, n_inserted, n_unique: k-mer occurrences and distinct k-mers of each minimizer partition (of counted, if given)."""
+    counted = count_kmers_by_minimizer(df, k, m, seq, counted)
     return counted.groupBy(partition_of("minimizer", n).alias("partition_id")).agg(F.sum("count").alias("n_inserted"), F.count(F.lit(1)).alias("n_unique"))
 
 
-def count_kmers_by_minimizer(df: DataFrame, k: int, m: int, seq: str = "seq") -> DataFrame:
+def count_kmers_by_minimizer(df: DataFrame, k: int, m: int, seq: str = "seq", counted: DataFrame | None = None) -> DataFrame:
     """kmer, minimizer, count: a k-mer's minimizer is a function of it, found from the counted k-mer."""
-    from strandlake.plans import vector
-
-    counted = vector.decoded(vector.count_keys(df, seq, k), k)
+    if counted is None:
+        counted = vector.decoded(vector.count_keys(df, seq, k), k)
     return minimizers(counted, k, m, "kmer", "count", seq="kmer").select("kmer", "minimizer", "count")
 
 

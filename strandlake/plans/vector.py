@@ -20,6 +20,46 @@ def slices(data: np.ndarray, offsets: np.ndarray, k: int, size: int = SLICE):
         yield bases.CODE[data[at:end]], np.unique(np.clip(offsets, at, end) - at), at
 
 
+def summed(words: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of words in order, and how often they occur (or the sums of n)."""
+    if not len(words[0]):
+        return words, np.zeros(0, np.int64)
+    if len(words) == 1 and n is None:
+        key, n = np.unique(words[0], return_counts=True)
+        return [key], n
+    order = np.argsort(words[0], kind="stable") if len(words) == 1 else np.lexsort(words[::-1])
+    rows = [w[order] for w in words]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in rows])
+    first = np.flatnonzero(new)
+    return [w[first] for w in rows], np.diff(np.append(first, len(order))) if n is None else np.add.reduceat(n[order], first)
+
+
+class Tally:
+    """Counts of k-mers of any number of codes arrays, merged like the runs of a log-structured table.
+
+    It holds the distinct k-mers only, and a run is merged when the next one has grown as long.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.runs = k, []
+
+    def add(self, codes: np.ndarray, ends: np.ndarray) -> None:
+        run = summed(bases.canonical_words(codes, bases.valid_windows(codes, ends, self.k), self.k))
+        while self.runs and len(self.runs[-1][1]) <= 2 * len(run[1]):
+            run = self._merged(self.runs.pop(), run)
+        self.runs.append(run)
+
+    @staticmethod
+    def _merged(a, b):
+        return summed([np.concatenate(w) for w in zip(a[0], b[0])], np.concatenate([a[1], b[1]]))
+
+    def counts(self) -> tuple[list[np.ndarray], np.ndarray]:
+        while len(self.runs) > 1:
+            self.runs.append(self._merged(self.runs.pop(), self.runs.pop()))
+        return self.runs[0] if self.runs else ([np.zeros(0, np.uint64)], np.zeros(0, np.int64))
+
+
 def _counter(k: int):
     kind = pa.int64() if k <= 32 else pa.binary()
     schema = pa.schema([("key", kind), ("n", pa.int64())])
@@ -33,11 +73,8 @@ def _counter(k: int):
                     key, n = np.unique(words[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], schema=schema)
                 elif len(words[0]):
-                    order = np.lexsort(words[::-1])
-                    rows = np.stack(words, 1)[order]
-                    new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
-                    n = np.diff(np.append(np.flatnonzero(new), len(rows)))
-                    flat = np.ascontiguousarray(rows[new].astype(">u8"))
+                    rows, n = summed(words)
+                    flat = np.ascontiguousarray(np.stack(rows, 1).astype(">u8"))
                     width = 8 * len(words)
                     ends_ = pa.py_buffer(np.arange(0, (len(n) + 1) * width, width, dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(n), [None, ends_, pa.py_buffer(flat.tobytes())]), pa.array(n)], schema=schema)
@@ -61,7 +98,8 @@ def decoded(counts: DataFrame, k: int) -> DataFrame:
             if k <= 32:
                 words = key.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
             else:
-                words = np.frombuffer(b"".join(key.to_pylist()), ">u8").astype(np.uint64).reshape(len(key), -1)
+                flat, _ = bases.buffers(key)  # keys are equally long
+                words = np.frombuffer(flat.tobytes(), ">u8").astype(np.uint64).reshape(len(key), -1)
             if len(key):
                 yield pa.RecordBatch.from_arrays([bases.string_array(bases.letters(words, k)), batch.column("count")], schema=schema)
 

@@ -58,10 +58,6 @@ def _counts(k: int) -> str:
     return _windows(k) + f", c as (select {_canon('kmer')} as kmer, count(*) as count from w group by 1)"
 
 
-def _pairs(k: int = K, spark_df=None):
-    return seqops.kmers(spark_df, k, "doc_id", "run_id")
-
-
 # hashes of m-mers: the XOR of constants by place and base
 _CONST = ", ".join(f"({i}, '{b}', {v}::ubigint)" for i, b, v in bases.nthash_constants(M))
 _HASHES = f""", k0(i, b, v) as (values {_CONST}),

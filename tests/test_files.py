@@ -82,6 +82,61 @@ def test_ranges_of_a_file_hold_each_record_once(tmp_path):
             assert cut == whole
 
 
+def test_ranges_of_a_fastq_file_hold_each_record_once(tmp_path):
+    import random
+
+    r, text = random.Random(6), ""
+    for i in range(60):
+        n = r.randrange(30)
+        text += f"@s{i} +x\n" + "".join(r.choice("ACGTN") for _ in range(n)) + "\n+" + r.choice(["", f"s{i}"]) + "\n" + "".join(r.choice("@+IJ>") for _ in range(n)) + "\n"
+    path = tmp_path / "r.fq"
+    for content in (text, text[:-1]):
+        path.write_text(content)
+        with open(path, "rb") as f:
+            whole = list(fastx.fastq_records(f))
+            assert len(whole) == 60
+            for step in (1, 7, 50, 333):
+                assert [x for a in range(0, len(content), step) for x in fastx.fastq_records(f, a, min(a + step, len(content)))] == whole
+
+
+def test_columns_and_non_bases_can_be_chosen(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one x\nACGNN\nTAC\n>two\nNNN\n>three\nggA\n")
+    (tmp_path / "b.fq").write_text("@q\nACNGT\n+\nIIIII\n")
+    folder = f"file://{tmp_path}"
+    rows = lambda **more: sorted(map(tuple, fastx.read(spark, folder, **more).collect()), key=str)
+    assert rows(columns=("seq",)) == sorted([("ACGNNTAC",), ("NNN",), ("ggA",), ("ACNGT",)], key=str)
+    assert rows(columns=("header", "seq"), non_bases="split") == sorted([("one x", "ACG"), ("one x", "TAC"), ("three", "ggA"), ("q", "AC"), ("q", "GT")], key=str)
+    assert rows(columns=("seq", "record_id"), non_bases="skip") == sorted([("ACGTAC", 0), ("", 1), ("ggA", 2), ("ACGT", 0)], key=str)
+    assert rows(columns=("quality",)) == sorted([(None,), (None,), (None,), ("IIIII",)], key=str)
+    for bad in ({"columns": ()}, {"columns": ("text",)}, {"non_bases": "x"}):
+        with pytest.raises(ValueError):
+            fastx.read(spark, folder, **bad)
+
+
+def test_one_record_is_spread_over_the_cores(spark, tmp_path):
+    import random
+
+    text = "".join(random.Random(1).choice("ACGTN"[: 4 + (i % 50 == 0)]) for i in range(5000))
+    (tmp_path / "a.fa.gz").write_bytes(gzip.compress(f">s\n{text}\n".encode()))
+    df = count.spread(fastx.read(spark, str(tmp_path / "a.fa.gz")), 7, part=300)
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() > 10
+    assert count.collect_dict(count.count_kmers(spark, df, 7)) == dict(brute_count([text], 7)) == count.collect_dict(count.count_kmers(spark, str(tmp_path / "a.fa.gz"), 7))
+
+
+def test_callback(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def note(kmer, n):
+        with open(f"{folder}/{kmer if isinstance(kmer, str) else bytes(kmer).hex()}", "w") as f:
+            f.write(str(n))
+
+    counts = count.count_kmers(spark, spark.createDataFrame([("ACGTAC",)], "seq string"), 3)
+    count.for_each(counts, note)
+    assert {f.name: f.read_text() for f in tmp_path.iterdir()} == {"ACG": "2", "GTA": "2"}
+    count.for_each(counts, note, binary=3)
+    assert (tmp_path / "18").read_text() == "2"
+
+
 def test_list_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">s\nACGTAC\n")
     (tmp_path / "list").write_text(f"\n{tmp_path}/a.fa\n\n{tmp_path}/a.fa\n")
@@ -96,22 +151,36 @@ def test_sinks(spark, tmp_path, k):
     expected = dict(brute_count(texts, k))
     for align in ("left", "right"):
         sinks.write_kff(counts, str(tmp_path / "o.kff"), k, align)
-        assert dict(sinks.read_kff(str(tmp_path / "o.kff"), align)) == expected
+        assert count.collect_dict(sinks.read_kff(spark, str(tmp_path / "o.kff"), align)) == expected
+    sinks.write_kff(counts.repartition(3), str(tmp_path / "many"), k, single=False)
+    files = sorted((tmp_path / "many").iterdir())
+    assert len(files) == 3 and all(f.suffix == ".kff" for f in files)
+    assert {w: n for f in files for w, n in count.collect_dict(sinks.read_kff(spark, f"file://{f}")).items()} == expected
+    assert [f.name for f in tmp_path.iterdir() if "parts" in f.name] == []
     sinks.write_counts(counts, str(tmp_path / "o.tsv"))
     assert {x.split("\t")[0]: int(x.split("\t")[1]) for x in (tmp_path / "o.tsv").read_text().splitlines()} == expected
     sinks.write_counts(counts, str(tmp_path / "o.parquet"))
     assert count.collect_dict(spark.read.parquet(str(tmp_path / "o.parquet"))) == expected
     sinks.write_counts(counts.limit(0), str(tmp_path / "empty.kff"), k)
-    assert list(sinks.read_kff(str(tmp_path / "empty.kff"))) == []
+    assert count.collect_dict(sinks.read_kff(spark, str(tmp_path / "empty.kff"))) == {}
+    cut = (tmp_path / "o.kff").read_bytes()
+    (tmp_path / "cut.kff").write_bytes(cut[:-20])
+    with pytest.raises(Exception):
+        sinks.read_kff(spark, str(tmp_path / "cut.kff")).count()
+    with pytest.raises(Exception):
+        sinks.write_kff(counts.selectExpr("kmer", "count + 4294967296 as count"), str(tmp_path / "big.kff"), k)
 
 
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.fa").write_text(">s\nACGTACNAC\n")
     assert cli.main(["-k", "3", "-m", "1", "-ci", "2", "-dbg", "-kff", str(tmp_path / "a.fa"), str(tmp_path / "out")], spark) == 0
-    assert dict(sinks.read_kff(str(tmp_path / "out.kff"))) == {"ACG": 2, "GTA": 2}
+    assert count.collect_dict(sinks.read_kff(spark, str(tmp_path / "out.kff"))) == {"ACG": 2, "GTA": 2}
+    said = capsys.readouterr().err
+    for key in ("seqs: 2", "kmers: 4", "superkmers: ", "phase1: ", "n_parts: ", "phase2: ", "unique_kmers: 2", "dbg_n_minimizers: "):
+        assert key in said
     assert cli.main(["-k", "3", "-m", "1", "-tp", str(tmp_path / "a.fa")], spark) == 0
     said = capsys.readouterr().err
-    assert "seqs: 2" in said and "kmers: 4" in said and "dbg_n_minimizers" in said
+    assert "seqs: 2" in said and "kmers: 4" in said and "superkmers: " in said and "phase2" not in said
     for bad in (["-k", "1"], ["-m", "40"], ["-k", "9", "-m", "9"], ["-t", "0"]):
         with pytest.raises(SystemExit):
             cli.main([*bad, "a", "b"], spark)

@@ -67,6 +67,11 @@ def test_filters_and_arguments(reads, spark):
         seqops.check_km(9, 9)
     with pytest.raises(ValueError):
         count.count_kmers(spark, [], 7)
+    for plan in count.PLANS:
+        for k, m in ((5, 9), (5, 5), (5, 0), (40, 33)):
+            with pytest.raises(ValueError):
+                count.count_kmers(spark, df, k, m, plan=plan)
+    assert count.collect_dict(count.count_kmers(spark, df, 5)) == every  # m is found where none is given
 
 
 def test_strands_and_case_do_not_matter(spark):
@@ -111,6 +116,73 @@ def test_nthash_vectors():
         assert f"{x:016x}" == h
 
 
+def test_minimizer_plan_has_one_exchange(reads, spark):
+    _, df = reads
+    plan = count.count_kmers(spark, df, 21, 11, plan="minimizer")._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert plan.count("Exchange") == 1
+
+
+def test_packed_codes(reads):
+    r = np.random.default_rng(1)
+    codes, n = r.integers(0, 4, 500).astype(np.uint8), np.array([1, 4, 7, 0, 33])
+    at = np.array([3, 0, 90, 5, 400])
+    packed, ends = bases.pack_all(codes, at, n)
+    assert np.diff(ends).tolist() == [1, 1, 2, 0, 9]
+    back, offsets = bases.unpack_all(packed, n)
+    assert [back[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [codes[a : a + x].tolist() for a, x in zip(at, n)]
+
+
+def test_tally_merges(reads):
+    texts = [dna(400, s, "ACGTN") for s in range(12)] * 2
+    for k in (5, 31, 40):
+        tally = vector.Tally(k)
+        for t in texts:
+            tally.add(bases.CODE[np.frombuffer(t.encode(), np.uint8)], np.array([0, len(t)]))
+        words, n = tally.counts()
+        spelled = ["".join(map(chr, row)) for row in bases.letters(np.stack(words, 1), k)]
+        assert dict(zip(spelled, n.tolist())) == brute_count(texts, k)
+
+
+def first_minimum(w, m):
+    hashes = [nthash(w[i : i + m]) for i in range(len(w) - m + 1)]
+    return hashes.index(min(hashes))
+
+
+def test_vertices_and_positions_of_minimizers(spark):
+    texts = [dna(150, s, "ACGTN") for s in range(4)] + ["A" * 60]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, seq string")
+    for k, m in ((9, 4), (21, 11)):
+        expected = []
+        for i, t in enumerate(texts):
+            for p in range(len(t) - k + 1):
+                w = t[p : p + k].upper()
+                if set(w) <= set("ACGT"):
+                    expected.append((i, p, w, min(w, rc(w)), w <= rc(w), f"{minimizer(w, m):016x}", first_minimum(w, m)))
+        got = minimizers.vertices(df, k, m, "id").withColumn("minimizer", minimizers.hash_hex("minimizer"))
+        assert sorted(map(tuple, got.collect())) == sorted(expected)
+        for x in minimizers.superkmers(df, k, m, "id", packed=True).withColumn("first", minimizers.first_kmer("sk", k)).collect():
+            w = texts[x["id"]][x["pos"] : x["pos"] + k].upper()
+            assert (x["min_pos"], x["first"]) == (first_minimum(w, m), w)
+
+
+def test_integers_of_32_bases_and_codes(spark):
+    words = ["A" * 32, "T" * 32, "G" + "A" * 31, "CGTA" * 8]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", seqops.encode("w").alias("v"), seqops.decode(seqops.encode("w"), 32).alias("d")).collect()
+    for r in rows:
+        value = int("".join(str("ACGT".index(c)) for c in r["w"]), 4)
+        assert r["v"] == (value if value < 2**63 else value - 2**64) and r["d"] == r["w"]
+    got = spark.createDataFrame([(c, i) for i, c in enumerate("ACGTn-")], "c string, i int").select("c", seqops.code_base("i"), seqops.is_placeholder("c")).collect()
+    assert [tuple(r) for r in got] == [("A", "A", False), ("C", "C", False), ("G", "G", False), ("T", "T", False), ("n", "4", True), ("-", "5", True)]
+
+
+def test_partitions_follow_the_size(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("repeat('ACGT', 50) || id as seq").write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    assert minimizers.default_partitions(df) == 4
+    monkeypatch.setattr(minimizers, "PARTITION_BYTES", 1000)
+    assert minimizers.default_partitions(df) >= 16
+
+
 def test_long_runs_are_cut(spark):
     df = spark.createDataFrame([("A" * 2000,)], "seq string")
     rows = minimizers.superkmers(df, 31, 21).orderBy("pos").collect()
