@@ -7,11 +7,17 @@ them (one run for each document).
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import bases, seqops
 from strandlake.operators import count, minimizers
+from strandlake.sources import fastx, sinks
 
 K, M, PARTS = 7, 5, 16
 _SRC, _DST = seqops._LETTERS, seqops.RECODED
@@ -296,3 +302,130 @@ def base_codes(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(F.explode(F.split("text", "")).alias("c")).where(F.col("c").rlike("^[A-Za-z]$"))
     return rows.groupBy(F.upper("c").alias("letter"), F.coalesce(seqops.base_code("c"), F.lit(-1)).alias("code"), seqops.complement("c").alias("complement")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# sources and sinks: the recoded documents as files of a folder that all executors share, and what is read back
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; only a local session makes its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="strandlake-")
+        atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, sf_dir: str, record, keep_breaks: bool = False, compression: str = "none") -> str:
+    """The folder of text files with record(doc_id, seq) of every document."""
+    folder = _folder(spark)
+    rows = _docs(spark, sf_dir, keep_breaks).withColumn("seq", F.coalesce(F.translate("seq", "\n\r>", "NNN"), F.lit("")))
+    rows.select(record(F.col("doc_id").cast("string"), F.col("seq")).alias("value")).write.option("compression", compression).text(folder)
+    return folder
+
+
+def _fasta(doc, seq):
+    """Lines of 60 bases."""
+    return F.concat(F.lit(">"), doc, F.lit(" a>b\n"), F.regexp_replace(seq, "(.{60})", "$1\n"))
+
+
+def _fastq(doc, seq):
+    return F.concat(F.lit("@"), doc, F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("@"), F.length(seq)))
+
+
+@query(_B + _counts(9) + " select kmer, count from c")
+def fasta_count(spark, sf_dir):
+    return count.count_kmers(spark, _written(spark, sf_dir, _fasta), 9, 5)
+
+
+@query(_B + _counts(9) + " select kmer, count from c")
+def fasta_gz_count(spark, sf_dir):
+    return count.count_kmers(spark, _written(spark, sf_dir, _fasta, compression="gzip"), 9, 5, plan="minimizer")
+
+
+@query(_B + " select cast(doc_id as varchar) as header, run as seq, repeat('@', length(run)) as quality, cast(length(run) as bigint) as n_bases from r")
+def fastq_records(spark, sf_dir):
+    rows = fastx.read(spark, _written(spark, sf_dir, _fastq), columns=("header", "seq", "quality"))
+    return rows.withColumn("n_bases", F.length("seq").cast("long"))
+
+
+@query(_B + " select cast(doc_id as varchar) as header, run as seq, repeat('@', length(run)) as quality from r")
+def fastq_gz_records(spark, sf_dir):
+    return fastx.read(spark, _written(spark, sf_dir, _fastq, compression="gzip"), columns=("header", "seq", "quality"))
+
+
+@query(_A + " select cast(doc_id as varchar) || ' a>b' as header, run from r")
+def fasta_split_runs(spark, sf_dir):
+    folder = _written(spark, sf_dir, lambda doc, seq: F.concat(F.lit(">"), doc, F.lit(" a>b\n"), seq), keep_breaks=True)
+    return fastx.read(spark, folder, columns=("header", "seq"), non_bases="split").withColumnRenamed("seq", "run")
+
+
+@query(_B + " select cast(doc_id as varchar) || ' a>b' as header, run as seq from r")
+def fasta_skip_non_bases(spark, sf_dir):
+    folder = _written(spark, sf_dir, lambda doc, seq: F.concat(F.lit(">"), doc, F.lit(" a>b\n"), seq), keep_breaks=True)
+    return fastx.read(spark, folder, columns=("header", "seq"), non_bases="skip")
+
+
+@query(_A + f" select count(*) as seqs, cast(sum(greatest(length(run) - {K - 1}, 0)) as bigint) as kmers from r")
+def file_list_stats(spark, sf_dir):
+    folder = _written(spark, sf_dir, lambda doc, seq: F.concat(F.lit(">"), doc, F.lit("\n"), seq), keep_breaks=True)
+    names = spark.createDataFrame([(name,) for name in fastx.expand(folder)], "value string")
+    listed = _folder(spark)
+    names.coalesce(1).write.text(listed)
+    return count.run_stats(count.sequences(spark, "@" + fastx.expand(listed)[0]), K)
+
+
+@query(_A + _counts(7) + " select kmer, count from c")
+def tsv_round_trip(spark, sf_dir):
+    path = _folder(spark) + ".tsv"
+    sinks.write_counts(_k7(spark, sf_dir), path)
+    return spark.read.option("sep", "\t").schema("kmer string, count long").csv(path)
+
+
+@query(_A + _counts(7) + " select kmer, count from c")
+def kff_round_trip(spark, sf_dir):
+    path = _folder(spark) + ".kff"
+    sinks.write_counts(_k7(spark, sf_dir), path, K)
+    return sinks.read_kff(spark, path)
+
+
+@query(_A + _counts(7) + " select kmer, count from c")
+def parquet_round_trip(spark, sf_dir):
+    path = _folder(spark) + ".parquet"
+    sinks.write_counts(_k7(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+# places of minimizers, windows with all that is known of them, packed super-k-mers, 32 bases
+
+
+@query(_MINI + _ISLANDS + f""", s as (select doc_id, run_id, h, pos + j * {_ROOM} as pos, least(c - j * {_ROOM}, {_ROOM}) + {K - 1} as n_bases from (select *, unnest(range(0, (c + {_ROOM - 1}) // {_ROOM})) as j from i0))
+select doc_id, cast(s.run_id as integer) as run_id, cast(s.pos as bigint) as pos, cast(min(mm.pos) - s.pos as integer) as min_pos, any_value(substr(run, cast(s.pos + 1 as bigint), {K})) as first_kmer
+from s join mm using (doc_id, run_id) join r using (doc_id, run_id) where mm.h = s.h and mm.pos between s.pos and s.pos + {K - M} group by doc_id, s.run_id, s.pos""")
+def superkmer_heads(spark, sf_dir):
+    rows = minimizers.superkmers(_run_rows(spark, sf_dir), K, M, "doc_id", "run_id", packed=True)
+    return rows.select("doc_id", "run_id", "pos", "min_pos", minimizers.first_kmer("sk", K).alias("first_kmer"))
+
+
+@query(_MINI + f""", p as (select doc_id, run_id, z.pos as pos, z.h as h, min(mm.pos) as first from z join mm using (doc_id, run_id) where mm.h = z.h and mm.pos between z.pos and z.pos + {K - M} group by 1, 2, 3, 4),
+v as (select doc_id, run_id, pos, h, first - pos as min_pos, substr(run, cast(pos + 1 as bigint), {K}) as kmer from p join r using (doc_id, run_id))
+select doc_id, cast(run_id as integer) as run_id, cast(pos as bigint) as pos, kmer, {_canon('kmer')} as canonical, kmer = {_canon('kmer')} as is_forward, lower(printf('%016x', h)) as minimizer, cast(min_pos as integer) as min_pos from v""")
+def vertex_windows(spark, sf_dir):
+    return minimizers.vertices(_run_rows(spark, sf_dir), K, M, "doc_id", "run_id").withColumn("minimizer", minimizers.hash_hex("minimizer"))
+
+
+_VALUE32 = " + ".join(f"(strpos('ACGT', substr(kmer, {i + 1}, 1)) - 1)::hugeint * {4 ** (31 - i)}::hugeint" for i in range(32))
+
+
+@query(_B + _counts(32) + f", v as (select kmer, count, {_VALUE32} as v from c) select kmer, count, cast(case when v >= 9223372036854775808::hugeint then v - 18446744073709551616::hugeint else v end as bigint) as value, kmer as decoded from v")
+def kmer_int_k32(spark, sf_dir):
+    rows = count.count_kmers(spark, _docs(spark, sf_dir, False), 32, 21)
+    return rows.withColumn("value", seqops.encode("kmer")).withColumn("decoded", seqops.decode("value", 32))
+
+
+@query("select doc_id, regexp_replace(regexp_replace(text, '[^ACGTacgt]', '1', 'g'), '[ACGTacgt]', '0', 'g') as mask, regexp_replace(regexp_replace(text, '[^Nn]', '0', 'g'), '[Nn]', '1', 'g') as n_mask from documents")
+def masks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.select("doc_id", seqops.mask_of("text").alias("mask"), seqops.mask_of("text", False).alias("n_mask"))
