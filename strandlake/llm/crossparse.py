@@ -55,7 +55,7 @@ REFERENCE = 1_000_000
 #: A piece that more than one in HOT of all shared ones equal is joined by broadcast: HOT rows at most.
 HOT = 20_000
 _LOW = (1 << 20) - 1
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
 def automaton(text: str) -> dict:
@@ -223,9 +223,10 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     points = np.frombuffer(("\0" * GAP).join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(points)
     # hash of the CUT characters before each place of a text; the greatest value where there are fewer
-    window = np.zeros(n - CUT, np.uint64)
-    for j in range(CUT):
-        window = window * _ODD + points[j : j + len(window)]
+    window, span, power = points, 1, _ODD
+    while span < CUT:  # twice as many characters at a time
+        window, span, power = window[:-span] * power + window[span:], 2 * span, power * power
+    window = window[: n - CUT]
     long = lengths > CUT
     change = np.zeros(n + 1, np.int8)
     change[first[long] + CUT], change[ends[long]] = 1, -1
@@ -281,7 +282,7 @@ def _pieces(batches):
         for row in _segmented(batch):
             rows.append(row)
             chars += len(row[4])
-            if chars > 1 << 20:
+            if chars > 1 << 17:
                 yield made(rows)
                 rows, chars = [], 0
         if rows:
