@@ -59,31 +59,50 @@ def _cut(a, at, n):
     return a[at : at + n]
 
 
-def forward(codes: np.ndarray, length: int) -> np.ndarray:
-    """Two bits a base, the first base highest; length 32 at most. Places that are no base count as A."""
-    def join(a, la, b, lb):
-        n = min(len(a), len(b) - la)
-        return (a[:n] << np.uint64(2 * lb)) | _cut(b, la, n)
-    return _double((codes & 3).astype(np.uint64), join, length)
+def _eights(codes: np.ndarray) -> np.ndarray:
+    """Two bits a base of the eight bases from each place on, the first highest; after the end, and where there is no base, A."""
+    full = np.zeros(len(codes) + 8, np.uint16)
+    full[: len(codes)] = codes & 3
+    for width in (1, 2, 4):
+        full = (full[: len(full) - width] << np.uint16(2 * width)) | full[width:]
+    return full
 
 
-def backward(codes: np.ndarray, length: int) -> np.ndarray:
-    """The value of each window's reverse complement."""
-    def join(a, la, b, lb):
-        n = min(len(a), len(b) - la)
-        return (_cut(b, la, n) << np.uint64(2 * la)) | a[:n]
-    return _double(3 - (codes & 3).astype(np.uint64), join, length)
+def _forward(eights: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Values of the windows of `length` bases at the places given, 32 at most, the last base lowest."""
+    if length < 8:
+        return (eights[at] >> np.uint16(16 - 2 * length)).astype(np.uint64)
+    value = eights[at].astype(np.uint64)
+    for j in range(8, length - 7, 8):
+        value = value << np.uint64(16) | eights[at + j]
+    rest = length % 8
+    if rest:
+        value = value << np.uint64(2 * rest) | (eights[at + length - 8] & np.uint16((1 << 2 * rest) - 1))
+    return value
+
+
+#: Bytes with their four bases in reverse order, complemented; and spelled, in the order of memory.
+_REVERSED = np.array([sum((3 - (b >> 2 * i & 3)) << 6 - 2 * i for i in range(4)) for b in range(256)], np.uint8)
+_SPELLED = np.array([[LETTER[b >> s & 3] for s in (6, 4, 2, 0)] for b in range(256)], np.uint8).view(np.uint32).ravel()
+
+
+def _reverse_complement(values: np.ndarray, length: int) -> np.ndarray:
+    reverse = _REVERSED[values.astype(">u8").view(np.uint8)].view("<u8")  # big-endian bytes read as little-endian
+    return reverse.astype(np.uint64) >> np.uint64(64 - 2 * length)
 
 
 def canonical_words(codes: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     """The canonical k-mers at the places given, as words of 32 bases, the last left-aligned (alone: right-aligned)."""
-    if k <= 32:
-        return [np.minimum(forward(codes, k)[at], backward(codes, k)[at])] if len(at) else [np.zeros(0, np.uint64)]
     n, rest = -(-k // 32), (k - 1) % 32 + 1
+    if not len(at):
+        return [np.zeros(0, np.uint64)] * n
+    eights = _eights(codes)
+    if k <= 32:
+        value = _forward(eights, at, k)
+        return [np.minimum(value, _reverse_complement(value, k))]
     shift = np.uint64(64 - 2 * rest)
-    f32, b32, f, b = forward(codes, 32), backward(codes, 32), forward(codes, rest), backward(codes, rest)
-    one = [f32[at + 32 * j] for j in range(n - 1)] + [f[at + 32 * (n - 1)] << shift]
-    two = [b32[at + k - 32 * (j + 1)] for j in range(n - 1)] + [b[at] << shift]
+    one = [_forward(eights, at + 32 * j, 32) for j in range(n - 1)] + [_forward(eights, at + 32 * (n - 1), rest) << shift]
+    two = [_reverse_complement(_forward(eights, at + k - 32 * (j + 1), 32), 32) for j in range(n - 1)] + [_reverse_complement(_forward(eights, at, rest), rest) << shift]
     less, equal = np.zeros(len(at), bool), np.ones(len(at), bool)
     for x, y in zip(one, two):
         less |= equal & (x < y)
@@ -93,12 +112,9 @@ def canonical_words(codes: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarra
 
 def letters(words: np.ndarray, k: int) -> np.ndarray:
     """ASCII letters, a row for each k-mer, from rows of words as canonical_words lays them out."""
-    out = np.empty((len(words), k), np.uint8)
-    for i in range(k):
-        w, in_word = divmod(i, 32)
-        shift = 2 * (k - 1 - i) if k <= 32 else 62 - 2 * in_word
-        out[:, i] = LETTER[(words[:, w] >> np.uint64(shift)) & np.uint64(3)]
-    return out
+    if k <= 32:
+        words = words << np.uint64(64 - 2 * k)
+    return _SPELLED[words.astype(">u8").view(np.uint8).reshape(len(words), -1)].view(np.uint8).reshape(len(words), -1)[:, :k]
 
 
 def pack_all(codes: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from strandlake.functions import bases, seqops
 from strandlake.plans import vector
 
-PLANS = ("vector", "sql", "minimizer")
+PLANS = ("vector", "sql", "minimizer", "auto")
+#: Up to so many bases a batch holds most k-mers more than once, and counting it first leaves little to exchange.
+SHORT = 11
 
 
 def sequences(spark: SparkSession, source, seq: str = "seq") -> DataFrame:
@@ -28,14 +30,15 @@ def _few_tasks(spark: SparkSession, source) -> bool:
     return len(fastx.ranges(fastx.expand(source))) < spark.sparkContext.defaultParallelism
 
 
-def count_kmers(spark: SparkSession, source, k: int = 31, m: int | None = None, min_count: int = 1, max_count: int | None = None, plan: str = "vector", seq: str = "seq", partitions: int | None = None) -> DataFrame:
+def count_kmers(spark: SparkSession, source, k: int = 31, m: int | None = None, min_count: int = 1, max_count: int | None = None, plan: str = "auto", seq: str = "seq", partitions: int | None = None) -> DataFrame:
     """kmer, count: the canonical k-mers of all sequences with min_count <= count <= max_count.
 
     Upper-case k-mers, unique, in no order. Counts are over all files or rows together. An empty
     path list is a ValueError, and so are k outside 2..256, m outside 1..32, m >= k; m is 21, or
     k - 1 if that is less, where none is given. min_count 0 is like 1; min_count over max_count gives no rows. The result is the same for every plan and every m:
-    `vector` counts on integer keys, `sql` uses built-in expressions only, `minimizer` exchanges
-    packed super-k-mers by partition and counts each partition on its own.
+    `vector` counts integer keys in each batch and exchanges those, `sql` uses built-in expressions only,
+    `minimizer` exchanges packed super-k-mers by partition and counts each partition on its own; `auto` is
+    `vector` up to SHORT bases, else `minimizer`.
     """
     seqops.check_k(k)
     if plan not in PLANS:
@@ -49,7 +52,7 @@ def count_kmers(spark: SparkSession, source, k: int = 31, m: int | None = None,
         rows = seqops.kmers(seqops.runs(df, seq), k)
         counts = rows.groupBy(seqops.canonical("kmer").alias("kmer")).agg(F.count(F.lit(1)).alias("count"))
         return in_range(counts, min_count, max_count)
-    if plan == "minimizer":
+    if plan == "minimizer" or plan == "auto" and k > SHORT:
         from strandlake.operators import minimizers
 
         return minimizers.count_by_partition(df, k, m, seq, partitions, min_count, max_count)
@@ -120,4 +123,4 @@ def reduce_by_kmer(rows: DataFrame, *aggregates, kmer: str = "kmer") -> DataFram
 
 
 def distinct_kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    return vector.decoded(vector.count_keys(df, seq, k), k).select("kmer")
+    return count_kmers(df.sparkSession, df, k, seq=seq).select("kmer")

@@ -261,7 +261,9 @@ def partition_table(df: DataFrame, k: int, m: int, n: int, seq: str = "seq", cou
 def count_kmers_by_minimizer(df: DataFrame, k: int, m: int, seq: str = "seq", counted: DataFrame | None = None) -> DataFrame:
     """kmer, minimizer, count: a k-mer's minimizer is a function of it, found from the counted k-mer."""
     if counted is None:
-        counted = vector.decoded(vector.count_keys(df, seq, k), k)
+        from strandlake.operators import count
+
+        counted = count.count_kmers(df.sparkSession, df, k, m, seq=seq)
     return minimizers(counted, k, m, "kmer", "count", seq="kmer").select("kmer", "minimizer", "count")
 
 

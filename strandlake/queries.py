@@ -26,10 +26,10 @@ ORACLES: dict[str, str] = {}
 
 
 def _docs(spark: SparkSession, sf_dir: str, keep_breaks: bool = True) -> DataFrame:
-    """doc_id, lang, seq, spread over the cores: a table of one file is read as one partition."""
+    """doc_id, lang, seq. A local session spreads a table of few files, each read as one partition, over its cores."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     n = spark.sparkContext.defaultParallelism
-    if len(docs.inputFiles()) < n:
+    if spark.sparkContext.master.startswith("local[") and len(docs.inputFiles()) < n:
         docs = docs.repartition(n)
     return docs.select("doc_id", "lang", seqops.recode("text", keep_breaks).alias("seq"))
 
