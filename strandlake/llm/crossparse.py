@@ -39,7 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Workspace, batch_of, partitions, small_batches, text_of
@@ -49,11 +49,11 @@ from strandlake.llm.wordhash import mix
 BLOCK = 1 << 20
 #: Longer texts are parsed in segments of this many characters, dealt to blocks each.
 SEGMENT = 1 << 16
-CUT, GAP = 8, 24
+CUT, GAP, PIECE = 8, 24, 49
 #: Longest reference text of `against`: its automaton takes some 600 bytes a character in every worker.
 REFERENCE = 1_000_000
-#: A piece that more than one in HOT of all shared ones equal is joined by broadcast: HOT rows at most.
-HOT = 20_000
+#: A piece of over HOT_ROWS rows, and over one in HOT of all, is hot: such are broadcast, HOT at most. Found in one document of SAMPLE.
+HOT, HOT_ROWS, SAMPLE = 20_000, 1 << 20, 64
 _LOW = (1 << 20) - 1
 _ODD = np.array([0x9E3779B97F4A7C15], np.uint64)
 
@@ -393,23 +393,34 @@ def _parse(block: int, corpus: int):
     return run
 
 
-def _linked(rows: DataFrame, work: Workspace) -> DataFrame:
+def _hot(rows: DataFrame, chars: int) -> DataFrame:
+    """piece of each piece that a sample of the documents shows to be in too many rows for one task: HOT rows at most, about.
+
+    The sample decides only how a piece is joined, not with what.
+    """
+    most = max(HOT_ROWS, chars // PIECE // HOT)
+    sample = rows.where(F.pmod("doc", F.lit(SAMPLE)) == 0).mapInArrow(_pieces, "piece long, doc long, place long")
+    return sample.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SAMPLE > most).select("piece")
+
+
+def _linked(rows: DataFrame, chars: int, work: Workspace) -> DataFrame:
     """doc, place, link for every piece that another document has; equal links are places of one document at one distance."""
     found = rows.mapInArrow(_pieces, "piece long, doc long, place long")
     # a document's hash and a place in it in one number: the least and the greatest are the places that the others are linked with
     found = found.withColumn("at", F.col("doc").bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.shiftright("place", 17).bitwiseAND(F.lit(_LOW))))
-    shared = found.groupBy("piece").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("times"))
-    shared = work.save(shared.where(F.shiftright("low", 20) != F.shiftright("high", 20)), "shared")
-    often = shared.where(F.col("times") > (shared.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] // HOT))
-    other = lambda t: F.when(F.shiftright(f"{t}low", 20) == F.shiftright("at", 20), F.col(f"{t}high")).otherwise(F.col(f"{t}low"))
-    # hot pieces, HOT at most, are joined where they stand; the others meet by their hash, and the hot ones' rows are spread
-    hot = often.select("piece", F.col("low").alias("hot_low"), F.col("high").alias("hot_high"))
-    found = found.join(F.broadcast(hot), "piece", "left").withColumn("piece", F.when(F.col("hot_low").isNull(), F.col("piece")).otherwise(F.xxhash64("at")))
-    found = found.join(shared.select("piece", "low", "high"), "piece", "left")
-    source = F.when(F.col("hot_low").isNotNull(), other("hot_")).otherwise(other(""))
-    found = found.select("doc", "place", "at", source.alias("source")).where("source is not null")
-    distance = (F.col("source").bitwiseAND(F.lit(_LOW)) - F.col("at").bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_LOW))
-    return found.select("doc", "place", F.col("source").bitwiseAND(F.lit(~_LOW)).bitwiseOR(distance).alias("link"))
+    hot = work.save(_hot(rows, chars), "hot")
+    ends = F.lit(None).cast("struct<low: bigint, high: bigint>")
+    if hot.limit(1).count():
+        # known before the shuffle, where the partial aggregation leaves a row of each task; their rows are spread then
+        hot = work.save(found.join(F.broadcast(hot), "piece", "left_semi").groupBy("piece").agg(F.min("at").alias("low"), F.max("at").alias("high")), "hot")
+        found = found.join(F.broadcast(hot), "piece", "left").withColumn("known", F.when(F.col("low").isNotNull(), F.struct("low", "high"))).drop("low", "high")
+        found, ends = found.withColumn("piece", F.when(F.col("known").isNull(), F.col("piece")).otherwise(F.xxhash64("doc", "place"))), F.col("known")
+    by_piece = Window.partitionBy("piece")
+    found = found.withColumn("ends", F.coalesce(ends, F.struct(F.min("at").over(by_piece).alias("low"), F.max("at").over(by_piece).alias("high"))))
+    found = found.where(F.shiftright("ends.low", 20) != F.shiftright("ends.high", 20))
+    source = F.when(F.shiftright("ends.low", 20) == F.shiftright("at", 20), F.col("ends.high")).otherwise(F.col("ends.low"))
+    distance = (source.bitwiseAND(F.lit(_LOW)) - F.col("at").bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_LOW))
+    return found.select("doc", "place", source.bitwiseAND(F.lit(~_LOW)).bitwiseOR(distance).alias("link"))
 
 
 def scored(docs: DataFrame, block: int = BLOCK, work: Workspace | None = None) -> DataFrame:
@@ -436,7 +447,7 @@ def scored(docs: DataFrame, block: int = BLOCK, work: Workspace | None = None) -
     groups, n = max(1, round(chars / block)), partitions(spark)
     texts = rows.mapInArrow(_segments, "doc long, segment long, doc_id long, copies long, text string")
     texts = texts.withColumns({"place": F.lit(None).cast("long"), "link": F.lit(None).cast("long")})
-    links = _linked(rows, work).select("doc", F.shiftright("place", 33).alias("segment"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copies"), F.lit(None).cast("string").alias("text"), "place", "link")
+    links = _linked(rows, chars, work).select("doc", F.shiftright("place", 33).alias("segment"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copies"), F.lit(None).cast("string").alias("text"), "place", "link")
     dealt = texts.unionByName(links).withColumn("group", F.pmod(F.xxhash64("doc", "segment"), F.lit(groups)).cast("int"))
     dealt = dealt.repartitionById(n, F.pmod("group", F.lit(n))).sortWithinPartitions("group", "doc", "segment", F.asc_nulls_first("place"))
     found = dealt.mapInArrow(_parse(block, chars), _PARSED_KIND)

@@ -140,12 +140,15 @@ def test_copies_are_found_in_the_whole_corpus(spark):
     rows += [(100, rows[0][1]), (101, prose(100, 1) + passage + prose(100, 2)), (None, rows[2][1]), (3, rows[3][1])]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     found = []
-    for hot in (2, crossparse.HOT):
-        before, crossparse.HOT = crossparse.HOT, hot
-        try:
+    for hot in (False, True):
+        with pytest.MonkeyPatch.context() as patch:
+            if hot:  # all pieces of two or more rows
+                patch.setattr(crossparse, "SAMPLE", 1)
+                patch.setattr(crossparse, "HOT_ROWS", 1)
+                patch.setattr(crossparse, "HOT", 10**9)
+                keyed = table.selectExpr("xxhash64(doc_id, text) as doc", "doc_id", "text")
+                assert crossparse._hot(keyed, 1).count() > 50
             found.append(crossparse.scored(table, block=2_000).collect())
-        finally:
-            crossparse.HOT = before
     assert sorted(map(str, found[0])) == sorted(map(str, found[1]))
     ratio = {}
     for x in found[0]:
