@@ -44,8 +44,9 @@ def expand(conversations: DataFrame, trained: str = "assistant") -> DataFrame:
 
     Null texts and roles are empty. Turns are ordered by turn, null first; rows with one
     turn by role and text, and repeated rows all count. Rows without conv_id form one
-    conversation. An empty table gives no rows. A conversation is one group by the
-    nature of its output, each example of which holds all turns before it.
+    conversation. Texts are formatted whole, however long. Other columns are ignored. An empty table gives
+    no rows. A conversation is one group by the nature of its output, each example of which holds all turns
+    before it: a hot conv_id is as large a group as its last example is a text.
     """
     one = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     turns = conversations.select("conv_id", one.alias("one")).groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))

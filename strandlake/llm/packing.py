@@ -210,7 +210,8 @@ def pack(docs: DataFrame, files: tuple[str, str, str] | None = None, capacity: i
     holds at most `capacity` ids.
 
     A null or empty text is the end id alone. Rows that repeat an id, or have none, are
-    packed each; an empty table gives no rows. Other columns are ignored. A text is
+    packed each; pieces of one length are ranked by id, start and content, and full repeats are
+    interchangeable. An empty table gives no rows. Other columns are ignored. A text is
     held whole by one task; the ids of different texts are not.
     """
     spark = docs.sparkSession
