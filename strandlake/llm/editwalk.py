@@ -263,8 +263,8 @@ def edit_distance(a: str, b: str) -> int:
 
 
 #: Steps of a walk from a place, which stays two on a character on average, and those that are sampled.
-STEPS, SAMPLED = 12, (0, 2, 3, 5, 6, 8, 9, 11)
-BANDS, WIDTH = 64, 3
+STEPS, SAMPLED = 14, (0, 1, 3, 4, 6, 8, 10, 12)
+BANDS, WIDTH = 128, 4
 
 
 def agreement(percent: int) -> float:
