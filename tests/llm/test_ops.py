@@ -93,7 +93,7 @@ def test_blocks_of_large_buckets_lose_no_link(spark, monkeypatch):
 
 def test_rows_without_id_and_of_one_id_are_linked_by_their_texts(spark):
     a, b = prose(80, 60), prose(80, 61)
-    rows = [(None, a), (None, edited(a, 2, 1)), (7, edited(a, 3, 2)), (None, b), (5, edited(b, 1, 3)), (5, a), (5, "else " + prose(40, 62))]
+    rows = [(None, a), (None, edited(a, 1, 1)), (7, edited(a, 1, 2)), (None, b), (5, edited(b, 1, 3)), (5, a), (5, "else " + prose(40, 62))]
     got = [(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()]
     # the texts near a have 5, 7 and none as ids, those near b 5 and none
     assert sorted(got, key=str) == sorted([(None, 5), (None, 5), (7, 5), (None, 5), (5, 5), (5, 5), (5, 5)], key=str)
