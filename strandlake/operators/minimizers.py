@@ -140,16 +140,16 @@ def _cut(data, offsets, k, m):
     return np.repeat(start, pieces) + nth * room, np.minimum(np.repeat(count, pieces) - nth * room, room) + k - 1, np.repeat(h, pieces)
 
 
-def superkmers(df: DataFrame, k: int, m: int, *keep: str, seq: str = "seq", packed: bool = False) -> DataFrame:
-    """keep..., pos, n_bases, minimizer, min_pos (with packed also sk): the super-k-mers of each row's runs.
+def superkmers(df: DataFrame, k: int, m: int, *keep: str, seq: str = "seq", packed: bool = False, positions: bool = False) -> DataFrame:
+    """keep..., pos, n_bases, minimizer (with positions also min_pos, with packed also sk): the super-k-mers of each row's runs.
 
     A stretch of consecutive k-mers with one minimizer is one super-k-mer, or several that
     overlap by k - 1 bases where it is longer than the length field holds. min_pos is where in it
     the first m-mer with the minimizer's hash starts.
     """
     seqops.check_km(k, m)
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["pos long", "n_bases int", "minimizer long", "min_pos int"] + ["sk binary"] * packed
-    names = [*keep, "pos", "n_bases", "minimizer", "min_pos"] + ["sk"] * packed
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["pos long", "n_bases int", "minimizer long"] + ["min_pos int"] * positions + ["sk binary"] * packed
+    names = [*keep, "pos", "n_bases", "minimizer"] + ["min_pos"] * positions + ["sk"] * packed
 
     def run(batches):
         for batch in batches:
@@ -160,7 +160,9 @@ def superkmers(df: DataFrame, k: int, m: int, *keep: str, seq: str = "seq", pack
             codes = bases.CODE[data]
             row = np.searchsorted(offsets, at, "right") - 1
             columns = [batch.column(i).take(pa.array(row)) for i in range(len(keep))]
-            columns += [pa.array(at - offsets[row]), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(bases.first_of(bases.nthash(codes, m), h, at, k - m + 1))]
+            columns += [pa.array(at - offsets[row]), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))]
+            if positions:
+                columns.append(pa.array(bases.first_of(bases.nthash(codes, m), h, at, k - m + 1)))
             if packed:
                 columns.append(bases.binary_array(*bases.pack_all(codes, at, n)))
             yield pa.RecordBatch.from_arrays(columns, names=names)

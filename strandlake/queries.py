@@ -405,7 +405,7 @@ def parquet_round_trip(spark, sf_dir):
 select doc_id, cast(s.run_id as integer) as run_id, cast(s.pos as bigint) as pos, cast(min(mm.pos) - s.pos as integer) as min_pos, any_value(substr(run, cast(s.pos + 1 as bigint), {K})) as first_kmer
 from s join mm using (doc_id, run_id) join r using (doc_id, run_id) where mm.h = s.h and mm.pos between s.pos and s.pos + {K - M} group by doc_id, s.run_id, s.pos""")
 def superkmer_heads(spark, sf_dir):
-    rows = minimizers.superkmers(_run_rows(spark, sf_dir), K, M, "doc_id", "run_id", packed=True)
+    rows = minimizers.superkmers(_run_rows(spark, sf_dir), K, M, "doc_id", "run_id", packed=True, positions=True)
     return rows.select("doc_id", "run_id", "pos", "min_pos", minimizers.first_kmer("sk", K).alias("first_kmer"))
 
 

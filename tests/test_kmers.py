@@ -162,7 +162,7 @@ def test_vertices_and_positions_of_minimizers(spark):
                     expected.append((i, p, w, min(w, rc(w)), w <= rc(w), f"{minimizer(w, m):016x}", first_minimum(w, m)))
         got = minimizers.vertices(df, k, m, "id").withColumn("minimizer", minimizers.hash_hex("minimizer"))
         assert sorted(map(tuple, got.collect())) == sorted(expected)
-        for x in minimizers.superkmers(df, k, m, "id", packed=True).withColumn("first", minimizers.first_kmer("sk", k)).collect():
+        for x in minimizers.superkmers(df, k, m, "id", packed=True, positions=True).withColumn("first", minimizers.first_kmer("sk", k)).collect():
             w = texts[x["id"]][x["pos"] : x["pos"] + k].upper()
             assert (x["min_pos"], x["first"]) == (first_minimum(w, m), w)
 
