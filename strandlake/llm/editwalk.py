@@ -340,5 +340,5 @@ def near_by_edits(docs: DataFrame, percent: int = 95, work: Workspace | None = N
     classes = work.save(classes_of(signed), "classes")
     roots = linked(docs, classes, _verify(percent), agreement(percent), work)
     named = classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = work.save(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return signed.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

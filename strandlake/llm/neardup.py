@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, work:
     roots = linked(docs, classes, _confirm(shingle, percent), AGREE, work)
     slim = classes.select("node", "doc_id")
     named = slim.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that adaptive execution can split the join where one component holds many classes
+    least = work.save(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     found = named.join(least, "root").select("node", "component_id")
     own = signed.select("doc_id", "n_shingles", "node").join(found, "node", "left")
     component = F.coalesce("component_id", "doc_id")
