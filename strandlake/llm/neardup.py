@@ -71,7 +71,7 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
 
 def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key for each band, different for different bands."""
-    rows = sketch.reshape(len(sketch), bands, -1)
+    rows = sketch.reshape(len(sketch), bands, sketch.shape[1] // bands)
     key = np.zeros(rows.shape[:2], np.uint64)
     for j in range(rows.shape[2]):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, j])

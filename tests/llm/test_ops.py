@@ -99,6 +99,14 @@ def test_rows_without_id_and_of_one_id_are_linked_by_their_texts(spark):
     assert sorted(got, key=str) == sorted([(None, 5), (None, 5), (7, 5), (None, 5), (5, 5), (5, 5), (5, 5)], key=str)
 
 
+def test_tables_of_texts_without_words(spark):
+    rows = [(1, None), (2, ""), (3, " \t"), (3, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in got) == sorted((str(i), 0, str(i), True) for i, _ in rows)
+    assert editwalk.near_by_edits(df.where("text is null or text = ''")).count() == 4
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(1)
     for n, common in ((3, 2), (40, 30), (1000, 800), (5000, 1000)):
