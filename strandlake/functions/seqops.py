@@ -26,7 +26,7 @@ def col(c) -> Column:
 def recode(text, keep_breaks: bool = True) -> Column:
     """Prose as DNA: letters a-z and A-Z become ACGT cyclically. Other characters stay and act as breaks, or go."""
     dna = F.translate(col(text), _LETTERS, RECODED)
-    return dna if keep_breaks else F.regexp_replace(dna, "[^ACGT]", "")
+    return dna if keep_breaks else F.regexp_replace(dna, "[^ACGT]+", "")
 
 
 def upper(seq) -> Column:
