@@ -149,7 +149,7 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     return sets
 
 
-def byte_slices(offsets: np.ndarray, limit: int = 4 << 20):
+def byte_slices(offsets: np.ndarray, limit: int = 1 << 20):
     """Ranges of texts holding about `limit` bytes at most, or one longer text."""
     a, n = 0, len(offsets) - 1
     while a < n:
