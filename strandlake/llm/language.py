@@ -32,8 +32,10 @@ LENGTHS, HASHES = (2, 3, 4), 3
 #: Most bytes of the filter, of which eight languages take one for each place.
 TABLE_BYTES = 64 << 20
 UNKNOWN = "und"
-#: Bytes of text whose n-grams are held together, at some hundred bytes each.
-SLICE = 1 << 20
+#: Bytes of text whose n-grams are held together, at some hundred bytes each; a longer text is read in parts.
+SLICE = 1 << 17
+#: Different n-grams whose counts a task holds before it passes them on.
+TALLY = 1 << 18
 #: The bits of each byte, lowest first.
 _BITS_OF = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
 
@@ -52,34 +54,65 @@ def _letters() -> np.ndarray:
 _LETTERS = _letters()
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of all n-grams, the text of each, letters of each text) for texts in one buffer."""
+def _symbols(data: np.ndarray, offsets: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters and blanks of texts in one buffer, the text of each, letters of each text). before: symbols of the first text that stand ahead of data."""
     starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     low = _LETTERS[points]
     text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(starts))
     is_letter = low > 0
-    n_letters = np.bincount(text, is_letter, len(offsets) - 1).astype(np.int64)
+    n_letters = np.bincount(text[is_letter], minlength=len(offsets) - 1)
     # one blank for each run of other characters, and one at each end of a text
     after = np.zeros(len(low), bool)
     after[1:] = is_letter[:-1] & (text[1:] == text[:-1])
+    after[:1] = len(before) and before[-1] > 0
     kept = is_letter | after
-    low, text = low[kept], text[kept]
+    return np.concatenate([before, low[kept]]), np.concatenate([np.zeros(len(before), np.int32), text[kept]]), n_letters
+
+
+def _hashed(low: np.ndarray, text: np.ndarray, seen: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all n-grams of the symbols, the text of each), but for those within the first `seen` symbols."""
     hashes, owner = [], []
     total = low.astype(np.uint64)
     before = np.zeros(len(low), bool)  # the first letter of a word
     before[1:] = (low[:-1] == 0) | (text[1:] != text[:-1])
     before[:1] = True
     head = before & (low > 0)
+    head[:seen] = False
     hashes.append(mix(total[head] + np.uint64(1 << 40)))
     owner.append(text[head])
     for n in range(2, max(LENGTHS) + 1):
         total = total[:-1] * np.uint64(0x110000) + low[n - 1 :]
         if n in LENGTHS and len(total):
             whole = (text[: len(total)] == text[n - 1 :]) & (low[: len(total)] > 0)
+            whole[: max(0, seen - n + 1)] = False
             hashes.append(mix(total[whole] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)))
             owner.append(text[: len(total)][whole])
-    return np.concatenate(hashes), np.concatenate(owner), n_letters
+    return np.concatenate(hashes), np.concatenate(owner)
+
+
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all n-grams, the text of each, letters of each text) for texts in one buffer."""
+    low, text, n_letters = _symbols(data, offsets, np.zeros(0, np.uint32))
+    return *_hashed(low, text, 0), n_letters
+
+
+def parts(data: np.ndarray, offsets: np.ndarray):
+    """What grams gives for texts of SLICE bytes in all, or for one longer text in parts of SLICE bytes: each n-gram in that where it ends."""
+    if len(offsets) != 2:
+        yield grams(data, offsets)
+        return
+    low, at = np.zeros(0, np.uint32), 0
+    while True:
+        end = min(at + SLICE, len(data))
+        # not within a character, which has three bytes after its first at most
+        end = next((p for p in range(end, end - 4, -1) if p == len(data) or data[p] & 0xC0 != 0x80), end)
+        before = low[1 - max(LENGTHS) :]
+        low, text, n_letters = _symbols(data[at:end], np.array([0, end - at]), before)
+        yield *_hashed(low, text, len(before)), n_letters
+        at = end
+        if at == len(data):
+            return
 
 
 def places_for(languages: int, most: int) -> int:
@@ -115,18 +148,43 @@ class Filter:
 
 
 def _count(batches):
-    """Counts of n-grams by language; a batch at a time, so the map side sends each n-gram once."""
+    """Counts of n-grams by language; those of a task are added up, TALLY at a time, so the map side passes an n-gram on once or seldom."""
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+    runs: dict[str, list] = {}
+
+    def merge() -> int:
+        for name, run in runs.items():
+            own, at = np.unique(np.concatenate([r[0] for r in run]), return_inverse=True)
+            n = np.zeros(len(own), np.int64)
+            np.add.at(n, at, np.concatenate([r[1] for r in run]))
+            runs[name] = [(own, n)]
+        return sum(len(run[0][0]) for run in runs.values())
+
+    def passed():
+        for name, [(own, n)] in runs.items():
+            yield batch_of(schema, pa.repeat(name, len(own)), own.view(np.int64), n)
+        runs.clear()
+
+    held = 0
     for batch in batches:
         data, offsets = string_buffers(batch.column("text"))
         names = batch.column("lang").to_pylist()
-        codes = {name: i for i, name in enumerate(dict.fromkeys(names))}
-        language = np.array([codes[x] for x in names], np.int32)
         for a, b in byte_slices(offsets, SLICE):
-            hashes, owner, _ = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            for name, code in codes.items():
-                own, n = np.unique(hashes[language[a:b][owner] == code], return_counts=True)
-                yield batch_of(schema, [name] * len(own), own.view(np.int64), n)
+            codes = {name: i for i, name in enumerate(dict.fromkeys(names[a:b]))}
+            language = np.array([codes[x] for x in names[a:b]], np.int32)
+            for hashes, owner, _ in parts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                for name, code in codes.items():
+                    own, n = np.unique(hashes[language[owner] == code], return_counts=True)
+                    if len(own):
+                        runs.setdefault(name, []).append((own, n))
+                        held += len(own) + 16  # an array counts too
+                if held > TALLY:
+                    held = merge()
+                    if held > TALLY // 2:
+                        yield from passed()
+                        held = 0
+    merge()
+    yield from passed()
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filter:
@@ -140,7 +198,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Filter:
     if not counts:
         return Filter([], np.zeros((1, 8), np.uint8))
     languages = sorted(counts)
-    known = spark.createDataFrame([(lang, i, min(1.0, fit_rows / max(counts[lang], 1))) for i, lang in enumerate(languages)], "lang string, code int, share double")
+    # an Arrow table, because a list of rows would start a second kind of Python worker on every executor
+    known = spark.createDataFrame(pa.table({"lang": languages, "code": pa.array(range(len(languages)), pa.int32()), "share": [min(1.0, fit_rows / max(counts[lang], 1)) for lang in languages]}))
     chosen = labelled.join(F.broadcast(known), "lang").where(F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000)
     chosen = chosen.groupBy("lang", "key", "code").agg(F.first("text").alias("text"))
     by_gram = chosen.select(F.col("code").cast("string").alias("lang"), "text").mapInArrow(_count, "lang string, gram long, n long").groupBy(F.col("lang").cast("int").alias("code"), "gram").agg(F.sum("n").alias("n"))
@@ -163,10 +222,12 @@ def _predict(shared, n_carried: int, schema: pa.Schema):
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
             for a, b in byte_slices(offsets, SLICE):
-                hashes, owner, letters = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 names, scores, covers = [UNKNOWN] * (b - a), np.zeros(b - a), np.zeros(b - a)
                 if model.languages:
-                    total, found = model.hits(hashes, owner, b - a)
+                    letters, total, found = np.zeros(b - a, np.int64), np.zeros(b - a), np.zeros((b - a, len(model.languages)))
+                    for hashes, owner, n in parts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                        for sum_, more in zip((letters, total, found), (n, *model.hits(hashes, owner, b - a))):
+                            sum_ += more
                     share = np.clip((found / np.maximum(total, 1)[:, None] - model.chance) / np.maximum(1 - model.chance, 1e-9), 0, 1)
                     best, weight = share.argmax(1), share.sum(1)
                     covers = np.where(letters > 0, share.max(1), 0.0)

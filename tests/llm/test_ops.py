@@ -293,6 +293,57 @@ def test_filter_is_bounded():
     assert language.places_for(4, 50_000) == 1 << 20 and language.places_for(4, 10**6) == 1 << 24
 
 
+def test_language_holds_little_of_a_long_text():
+    """A text of 4 MB and 4 MB of texts: counting and predicting hold the n-grams of a part, and give what the whole gives."""
+    import tracemalloc
+
+    pa, texts = language.pa, [prose(800_000, 5), *[prose(500, i) for i in range(1600)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["aa", "bb"] * 800 + ["aa"])], ["text", "lang"])
+    hashes, owner, _ = language.grams(*language.string_buffers(batch.column("text")))
+    table = np.zeros((1, 1 << 20), np.uint8)
+    model = language.Filter(["aa", "bb"], table)
+    for bit, own in ((1, hashes[owner == 0]), (2, hashes[owner % 2 == 1][::7])):
+        for at in model._places(own):
+            table[0, at] |= np.uint8(bit)
+    model = language.Filter(["aa", "bb"], table)
+    total, found = model.hits(hashes, owner, len(texts))
+    of_a = owner % 2 == 0
+    expected = {name: dict(zip(*(x.tolist() for x in np.unique(hashes[own], return_counts=True)))) for name, own in (("aa", of_a), ("bb", ~of_a))}
+    del hashes, owner, of_a
+
+    def held(run):
+        tracemalloc.start()
+        out = list(run)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak >> 20
+
+    counted, most = held(language._count([batch]))
+    got = {"aa": defaultdict(int), "bb": defaultdict(int)}
+    for b in counted:
+        for name, gram, n in zip(*(b.column(c).to_pylist() for c in ("lang", "gram", "n"))):
+            got[name][gram % 2**64] += n
+    assert got == expected and most < 60, most
+    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("coverage", pa.float64())])
+    predicted, most = held(language._predict(type("Shared", (), {"value": model}), 0, schema)([batch]))
+    share = np.clip((found / total[:, None] - model.chance) / (1 - model.chance), 0, 1)
+    rows = pa.Table.from_batches(predicted).to_pydict()
+    assert rows["coverage"] == share.max(1).tolist() and rows["lang_pred"] == [model.languages[i] for i in share.argmax(1)]
+    assert most < 60, most
+
+
+def test_parts_of_a_text_have_its_grams(monkeypatch):
+    texts = [*(t or "" for t in TEXTS if len(t or "") < 2000), "ab" + " " * 50 + "cd", "   ab", "é", "a\U00030000 \U00030001x日b" * 3]
+    for size in (4, 5, 7, 64):
+        monkeypatch.setattr(language, "SLICE", size)
+        for t in texts:
+            one = language.string_buffers(language.pa.array([t]))
+            hashes, _, letters = language.grams(*one)
+            cut = list(language.parts(*one))
+            assert sorted(np.concatenate([c[0] for c in cut]).tolist()) == sorted(hashes.tolist()) and sum(c[2] for c in cut) == letters
+            assert len(cut) > 1 or len(one[0]) <= size
+
+
 # 3 URLs
 
 
