@@ -235,3 +235,16 @@ def test_stream_counts_as_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["kmer"]: r["count"] for r in spark.table("live").collect()} == brute_count([t.replace("\r", "N") for t in texts], 7)
+
+
+def test_kmers_leave_in_the_order_of_the_text_with_their_values(spark):
+    text = dna(3000, 9, "ACGT") * 2
+    tally = vector.Tally(32)
+    tally.add(bases.CODE[np.frombuffer(text.encode(), np.uint8)], np.array([0, len(text)]))
+    words, n = tally.counts()
+    spelled = ["".join(map(chr, row)) for row in bases.letters(words[0][:, None], 32)]
+    assert spelled == list(dict.fromkeys(min(w, rc(w)) for w in (text[i : i + 32] for i in range(len(text) - 31))))
+    rows = count.count_kmers(spark, spark.createDataFrame([(text,), ("T" * 40,)], "seq string"), 32, 21)
+    expected = rows.withColumn("value", seqops.encode("kmer")).withColumn("decoded", seqops.decode("value", 32))
+    got = vector.valued(rows, 32)
+    assert got.columns == expected.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
