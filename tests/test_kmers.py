@@ -248,3 +248,16 @@ def test_kmers_leave_in_the_order_of_the_text_with_their_values(spark):
     expected = rows.withColumn("value", seqops.encode("kmer")).withColumn("decoded", seqops.decode("value", 32))
     got = vector.valued(rows, 32)
     assert got.columns == expected.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_superkmers_of_slices(spark, tmp_path, monkeypatch):
+    texts = [dna(900, 5), "A" * 3000, "", dna(400, 6, "ACGT")]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = list(minimizers._pieces(data, offsets, 31, 21))
+    parts = list(minimizers._pieces(data, offsets, 31, 21, 97))
+    for i in range(3):
+        assert np.concatenate([p[i] for p in parts]).tolist() == np.concatenate([p[i] for p in whole]).tolist()
+    assert max(at[-1] + n[-1] - at[0] for at, n, _ in parts) <= 97 + 30 + 255
+    spark.createDataFrame([(dna(3000, i, "ACGT"),) for i in range(20)], "seq string").write.parquet(str(tmp_path / "s"))
+    monkeypatch.setattr(minimizers, "PARTITION_BYTES", 1000)
+    assert count.count_kmers(spark, spark.read.parquet(str(tmp_path / "s")), 31, 21).rdd.getNumPartitions() >= 16  # shuffle partitions: 4
