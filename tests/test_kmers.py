@@ -261,3 +261,10 @@ def test_superkmers_of_slices(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(dna(3000, i, "ACGT"),) for i in range(20)], "seq string").write.parquet(str(tmp_path / "s"))
     monkeypatch.setattr(minimizers, "PARTITION_BYTES", 1000)
     assert count.count_kmers(spark, spark.read.parquet(str(tmp_path / "s")), 31, 21).rdd.getNumPartitions() >= 16  # shuffle partitions: 4
+
+
+def test_a_partition_is_counted_bin_by_bin(reads, spark):
+    texts, df = reads
+    counts = count.count_kmers(spark, df, 21, 11, plan="minimizer", partitions=1)
+    assert "Sort [pid" in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert counts.rdd.getNumPartitions() == 1 and count.collect_dict(counts) == brute_count([t or "" for t in texts], 21)
