@@ -268,3 +268,17 @@ def test_a_partition_is_counted_bin_by_bin(reads, spark):
     counts = count.count_kmers(spark, df, 21, 11, plan="minimizer", partitions=1)
     assert "Sort [pid" in counts._jdf.queryExecution().optimizedPlan().toString()
     assert counts.rdd.getNumPartitions() == 1 and count.collect_dict(counts) == brute_count([t or "" for t in texts], 21)
+
+
+@pytest.mark.parametrize("alike", (False, True))
+def test_gathered_rows(monkeypatch, alike):
+    if alike:  # mixed bits that tell nothing
+        monkeypatch.setattr(vector, "_MIX", np.zeros(3, np.uint64))
+    r = np.random.default_rng(2)
+    for width in (1, 2, 3):
+        words, n = [r.integers(0, 5, 400).astype(np.uint64) << np.uint64(60) for _ in range(width)], r.integers(1, 9, 400)
+        rows, sums = vector.gathered(words, n)
+        expected = {}
+        for row, x in zip(zip(*(w.tolist() for w in words)), n.tolist()):
+            expected[row] = expected.get(row, 0) + x
+        assert list(zip(zip(*(w.tolist() for w in rows)), sums.tolist())) == list(expected.items())
