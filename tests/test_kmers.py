@@ -1,3 +1,4 @@
+import gzip
 import random
 
 import numpy as np
@@ -282,3 +283,12 @@ def test_gathered_rows(monkeypatch, alike):
         for row, x in zip(zip(*(w.tolist() for w in words)), n.tolist()):
             expected[row] = expected.get(row, 0) + x
         assert list(zip(zip(*(w.tolist() for w in rows)), sums.tolist())) == list(expected.items())
+
+
+def test_partitions_follow_the_size_of_files(spark, tmp_path, monkeypatch):
+    texts = [dna(2000, i, "ACGT") for i in range(5)]
+    (tmp_path / "a.fa.gz").write_bytes(gzip.compress("".join(f">{i}\n{t}\n" for i, t in enumerate(texts)).encode()))
+    monkeypatch.setattr(minimizers, "PARTITION_BYTES", 500)
+    counts = count.count_kmers(spark, str(tmp_path / "a.fa.gz"), 9, 5, plan="minimizer")
+    assert counts.rdd.getNumPartitions() >= 16  # shuffle partitions: 4
+    assert count.collect_dict(counts) == brute_count(texts, 9)
