@@ -254,8 +254,16 @@ def run_stats(df: DataFrame, k: int, m: int, seq: str = "seq") -> DataFrame:
 
 
 def coverage(df: DataFrame, k: int, m: int, seq: str = "seq") -> DataFrame:
-    """minimizer, coverage: k-mer occurrences of each minimizer."""
-    return superkmers(df, k, m, seq=seq).groupBy("minimizer").agg(F.sum(F.col("n_bases") - (k - 1)).cast("long").alias("coverage"))
+    """minimizer, coverage: k-mer occurrences of each minimizer, summed by slices of a batch before the exchange."""
+    seqops.check_km(k, m)
+
+    def run(batches):
+        for batch in batches:
+            for _, n, h in _pieces(*bases.buffers(batch.column(0)), k, m):
+                (h,), n = vector.gathered([h], n - (k - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["minimizer", "n"])
+
+    return df.select(seq).mapInArrow(run, "minimizer long, n long").groupBy("minimizer").agg(F.sum("n").alias("coverage"))
 
 
 def coverage_histogram(covered: DataFrame) -> DataFrame:

@@ -292,3 +292,13 @@ def test_partitions_follow_the_size_of_files(spark, tmp_path, monkeypatch):
     counts = count.count_kmers(spark, str(tmp_path / "a.fa.gz"), 9, 5, plan="minimizer")
     assert counts.rdd.getNumPartitions() >= 16  # shuffle partitions: 4
     assert count.collect_dict(counts) == brute_count(texts, 9)
+
+
+def test_coverage_is_summed_by_slices(reads, spark):
+    _, df = reads
+    covered = minimizers.coverage(df, 21, 5)
+    assert "n_bases" not in covered._jdf.queryExecution().optimizedPlan().toString()
+    expected = {}
+    for r in minimizers.superkmers(df, 21, 5).collect():
+        expected[r["minimizer"]] = expected.get(r["minimizer"], 0) + r["n_bases"] - 20
+    assert {r["minimizer"]: r["coverage"] for r in covered.collect()} == expected
