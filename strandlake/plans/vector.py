@@ -174,3 +174,18 @@ def valued(counts: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("kmer"), batch.column("count"), pa.array(words.view(np.int64)), bases.string_array(bases.letters(words[:, None], k))], schema=schema)
 
     return counts.select("kmer", "count").mapInArrow(run, "kmer string, count long, value long, decoded string")
+
+
+def letter_counts(df: DataFrame, text: str) -> DataFrame:
+    """c, n: occurrences of each ASCII letter, a row for each letter of each task. Bytes of other characters are no letters in UTF-8."""
+
+    def run(batches):
+        n = np.zeros(256, np.int64)
+        for batch in batches:
+            data, _ = bases.buffers(batch.column(0))
+            for at in range(0, len(data), SLICE):
+                n += np.bincount(data[at : at + SLICE], minlength=256)
+        found = [b for b in np.flatnonzero(n).tolist() if chr(b).isalpha() and b < 128]
+        yield pa.RecordBatch.from_arrays([pa.array([chr(b) for b in found], pa.string()), pa.array(n[found])], names=["c", "n"])
+
+    return df.select(text).mapInArrow(run, "c string, n long")

@@ -301,8 +301,8 @@ select upper(c) as letter, cast(strpos('ACGT', upper(c)) - 1 as integer) as code
 from l where regexp_matches(c, '^[A-Za-z]$') group by all""")
 def base_codes(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select(F.explode(F.split("text", "")).alias("c")).where(F.col("c").rlike("^[A-Za-z]$"))
-    return rows.groupBy(F.upper("c").alias("letter"), F.coalesce(seqops.base_code("c"), F.lit(-1)).alias("code"), seqops.complement("c").alias("complement")).agg(F.count(F.lit(1)).alias("n"))
+    rows = vector.letter_counts(docs, "text")
+    return rows.groupBy(F.upper("c").alias("letter"), F.coalesce(seqops.base_code("c"), F.lit(-1)).alias("code"), seqops.complement("c").alias("complement")).agg(F.sum("n").alias("n"))
 
 
 # sources and sinks: the recoded documents as files of a folder that all executors share, and what is read back

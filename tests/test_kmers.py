@@ -1,5 +1,6 @@
 import gzip
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -302,3 +303,9 @@ def test_coverage_is_summed_by_slices(reads, spark):
     for r in minimizers.superkmers(df, 21, 5).collect():
         expected[r["minimizer"]] = expected.get(r["minimizer"], 0) + r["n_bases"] - 20
     assert {r["minimizer"]: r["coverage"] for r in covered.collect()} == expected
+
+
+def test_letters_are_counted_by_batches(spark):
+    texts = ["Naïve ÅB{}[]@`", "", None, "aAzZ" * 300, "日本x\n"]
+    got = vector.letter_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text").collect()
+    assert dict(map(tuple, got)) == Counter(c for t in texts for c in t or "" if c.isascii() and c.isalpha())
